@@ -138,6 +138,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner", most_rows: int = 1_000_000) -> DataFrame:
+def sized_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner", most_rows: int = 200_000) -> DataFrame:
     """Join; ``small`` is broadcast only if a count finds at most ``most_rows`` rows, else both sides are shuffled."""
     return big.join(F.broadcast(small) if small.count() <= most_rows else small.hint("merge"), on, how)
