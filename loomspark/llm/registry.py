@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.llm import crossparse, simhash, suffix_dedup
+from loomspark.llm import crossparse, decontaminate, simhash, suffix_dedup
 
-_MODULES = (crossparse, simhash, suffix_dedup)
+_MODULES = (crossparse, decontaminate, simhash, suffix_dedup)
 
 
 def queries() -> dict:
