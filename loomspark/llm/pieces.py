@@ -1,7 +1,7 @@
 """Operator 8, SentencePiece encoding and decoding by batched numpy Viterbi.
 
 Texts are cut before each run of blanks, where no piece can reach across; equal words are
-encoded once per slice. Words of equal length advance together, a character at a time:
+encoded once. Words of equal length advance together, a character at a time:
 hashes of all substrings probe the sorted piece keys, and for every end position a vectorised
 maximum over the pieces that end there stores the backpointer.
 
@@ -38,6 +38,35 @@ BLANK = "▁"
 NONE = np.int64(1) << np.int64(40)
 
 
+class WordCache:
+    """The words this process has encoded lately, sorted by hash. It only saves time: when it
+    is full it starts again from the last slice's words."""
+
+    MOST = 1_500_000
+
+    def __init__(self):
+        self.keys, self.counts, self.first, self.ids = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def __reduce__(self):
+        return WordCache, ()
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        order = np.argsort(np.concatenate((self.keys, keys)), kind="stable")
+        self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(counts) - counts))[order]
+        self.keys, self.counts = np.concatenate((self.keys, keys))[order], np.concatenate((self.counts, counts))[order]
+        self.ids = np.concatenate((self.ids, ids))
+
+    def trim(self, keys: np.ndarray) -> None:
+        if len(self.keys) > self.MOST:
+            at = np.searchsorted(self.keys, keys)
+            counts, ids = self.counts[at], self.ids[ranges(self.first[at], self.counts[at])]
+            self.__init__()
+            self.add(keys, counts, ids)
+
+
+_caches: dict[str, WordCache] = {}
+
+
 @dataclass
 class Pieces:
     """A model as arrays. Ranks number single characters first, then merges in their order;
@@ -58,10 +87,15 @@ class Pieces:
     starts: np.ndarray  # id -> its bytes in raw
     raw: np.ndarray
     table: dict[str, int]  # piece -> rank
-    lone: np.ndarray  # code points that are in no longer piece
+    cut_lines: bool  # no longer piece has a line feed
+    name: str
+
+    @property
+    def cache(self) -> WordCache:
+        return _caches.setdefault(self.name, WordCache())
 
 
-def merge(chars: str, table: dict[str, int], first_merge: int) -> list[str]:
+def merge(chars: str, table: dict[str, int]) -> list[str]:
     """BPE of one word by a heap of pairs: the lowest rank first, the leftmost on ties."""
     n = len(chars)
     text, after, before, alive = list(chars), list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
@@ -124,7 +158,7 @@ def load(path: str = MODEL) -> Pieces:
                 joins[a << 20 | b] = table[p]
     if not unigram:
         for p in longer:
-            if len(merge(p, ties, 0)) > 1:
+            if len(merge(p, ties)) > 1:
                 usable[table[p]] = False
                 continue
             halves = _last_halves(p, ties)
@@ -139,20 +173,19 @@ def load(path: str = MODEL) -> Pieces:
     if sp.unk_id() >= 0:
         raw[sp.unk_id()] = " ⁇ ".encode()
     byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]) if any(is_byte) else None
-    inside = {c for p in longer for c in p}
     return Pieces(
         unigram=unigram, longest=max(map(len, order)), keys=keys[by], key_rank=np.array([table[p] for p in named])[by],
         ids=np.array([sp.unk_id(), *(pieces[p] for p in order[1:])]), left=left, right=right, joins=join_keys, joined=np.array([ties[order[joins[int(k)]]] for k in join_keys], np.int64),
         score=np.array([min(score.values()) - 10.0, *(score[p] for p in order[1:])]), byte_ids=byte_ids, unk=sp.unk_id(),
         starts=np.concatenate(([0], np.cumsum([len(x) for x in raw]))), raw=np.frombuffer(b"".join(raw), np.uint8), table=ties | {c: table[c] for c in chars},
-        lone=np.array(sorted({ord(c) for c in chars} - {ord(c) for c in inside}), np.uint32),
+        cut_lines=not any("\n" in piece for piece in longer), name=path,
     )
 
 
 def _last_halves(piece: str, table: dict[str, int]) -> tuple[str, str]:
     """The two parts whose merge was the last step of merging a whole piece."""
     blocked = {k: v for k, v in ((piece[i:j], table.get(piece[i:j])) for i in range(len(piece)) for j in range(i + 2, len(piece) + 1)) if v is not None and k != piece}
-    a, b = merge(piece, blocked, 0)
+    a, b = merge(piece, blocked)
     return a, b
 
 
@@ -197,9 +230,8 @@ def admissible(p: Pieces, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     ok = np.ones(len(a), bool)
     act, limit = np.arange(len(a)), np.full(len(a), NONE)
     while len(act):
-        fine = lookup(p.joins, p.joined, (a << 20) | b, NONE) >= limit
-        free = lookup(p.joins, p.joined, (a << 20) | b, NONE) == NONE
-        fine |= free
+        joined = lookup(p.joins, p.joined, (a << 20) | b, NONE)
+        fine = (joined >= limit) | (joined == NONE)
         ok[act[~fine]] = False
         a, b, limit, act = a[fine], b[fine], limit[fine], act[fine]
         first = a > b
@@ -277,10 +309,14 @@ def encode(p: Pieces, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     start = blank.copy()
     start[1:] &= ~blank[:-1]
     start[offs[:-1][np.diff(offs) > 0]] = True
-    start[1:] |= raw[:-1] == 10  # a line feed is in no longer piece, so words may end there
+    if p.cut_lines:
+        start[1:] |= raw[:-1] == 10
     begin = np.flatnonzero(start)
     end = np.concatenate((begin[1:], [len(raw)]))
-    _, where, which = np.unique(span_hash(prefix(raw), begin, end), return_index=True, return_inverse=True)
+    hashes, where, which = np.unique(span_hash(prefix(raw), begin, end), return_index=True, return_inverse=True)
+    cache = p.cache
+    new = lookup(cache.keys, np.ones(len(cache.keys), np.int64), hashes, 0) == 0
+    where = where[new]
     sizes = end[where] - begin[where]
     text = raw[ranges(begin[where], sizes)]
     bounds = np.concatenate(([0], np.cumsum(sizes)))
@@ -311,7 +347,7 @@ def encode(p: Pieces, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     tokens.append(ids)
     for w in np.flatnonzero(~plain).tolist():
         own: list[int] = []
-        for piece in merge(string[chars[w] : chars[w + 1]], p.table, 0):
+        for piece in merge(string[chars[w] : chars[w + 1]], p.table):
             r = p.table.get(piece)
             own.extend([piece_id(p, piece)] if r else p.byte_ids[list(piece.encode())].tolist() if p.byte_ids is not None else [p.unk])
         total[w] = len(own)
@@ -320,9 +356,12 @@ def encode(p: Pieces, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     flat_ids, flat_word = np.concatenate(tokens), np.concatenate(word_of)
     if len(tokens) > 1:
         flat_ids = flat_ids[np.argsort(flat_word, kind="stable")]
-    first_id = np.concatenate(([0], np.cumsum(total)))
-    amount = total[which]
-    out = flat_ids[ranges(first_id[which], amount)].astype(np.int32)
+    if len(where):
+        cache.add(hashes[new], total, flat_ids.astype(np.int32))
+    at = np.searchsorted(cache.keys, hashes)[which]
+    amount = cache.counts[at]
+    out = cache.ids[ranges(cache.first[at], amount)]
+    cache.trim(hashes)
     doc_first = np.searchsorted(begin, offs)
     return out, np.concatenate(([0], np.cumsum(amount)))[doc_first]
 
