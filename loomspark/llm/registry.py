@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.llm import crossparse, decontaminate, pieces, simhash, suffix_dedup
+from loomspark.llm import crossparse, decontaminate, pieces, quality, simhash, suffix_dedup
 
-_MODULES = (crossparse, decontaminate, pieces, simhash, suffix_dedup)
+_MODULES = (crossparse, decontaminate, pieces, quality, simhash, suffix_dedup)
 
 
 def queries() -> dict:
