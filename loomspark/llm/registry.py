@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.llm import crossparse, decontaminate, pieces, quality, simhash, suffix_dedup
+from loomspark.llm import chat, crossparse, decontaminate, pieces, quality, simhash, suffix_dedup, tokenfiles
 
-_MODULES = (crossparse, decontaminate, pieces, quality, simhash, suffix_dedup)
+_MODULES = (chat, crossparse, decontaminate, pieces, quality, simhash, suffix_dedup, tokenfiles)
 
 
 def queries() -> dict:
