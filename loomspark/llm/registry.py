@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.llm import chat, crossparse, decontaminate, pieces, quality, simhash, suffix_dedup, tokenfiles
+from loomspark.llm import chat, crossparse, decontaminate, lsm_dedup, neighbours, pieces, quality, simhash, suffix_dedup, tokenfiles
 
-_MODULES = (chat, crossparse, decontaminate, pieces, quality, simhash, suffix_dedup, tokenfiles)
+_MODULES = (chat, crossparse, decontaminate, lsm_dedup, neighbours, pieces, quality, simhash, suffix_dedup, tokenfiles)
 
 
 def queries() -> dict:
