@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.plans import series_queries, subgraph_queries
+from loomspark.plans import etl_queries, series_queries, subgraph_queries
 
-_MODULES = (series_queries, subgraph_queries)
+_MODULES = (series_queries, subgraph_queries, etl_queries)
 
 
 def queries() -> dict:
