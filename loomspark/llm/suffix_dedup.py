@@ -163,12 +163,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` without the words of ``spans`` (doc_id, start_word, end_word); a document of
     which nothing is left goes. Rows with a null doc_id or text stay as they are."""
-    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("cuts_")).withColumnRenamed("doc_id", "key_")
+    mark = "cuts_"
+    while mark in docs.columns:  # the documents' own columns may have any name
+        mark += "_"
+    lists = spans.groupBy(F.col("doc_id").alias("key_")).agg(F.collect_list(F.struct("start_word", "end_word")).alias(mark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             raw, offs = flat(part.column("text"))
-            cuts = part.column("cuts_")
+            cuts = part.column(mark)
             words, whole = Words(raw, offs), raw.tobytes()
             texts = part.column("text").to_pylist()
             for d in np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False)).tolist():
@@ -181,12 +184,12 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if k == "text" else part.column(k) for k in part.schema.names]
             yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    both = docs.join(lists, docs["doc_id"].cast("long") == lists["key_"], "left").select(*[docs[c] for c in docs.columns], "cuts_")
+    both = docs.join(lists, docs["doc_id"].cast("long") == lists["key_"], "left").select(*[docs[c] for c in docs.columns], lists[mark])
     schema = both.schema
     out = both.mapInArrow(run, schema)
-    out = out.where(F.col("cuts_").isNull() | F.col("text").isNull() | (F.trim(F.regexp_replace("text", r"\s", "")) != ""))
+    out = out.where(F.col(mark).isNull() | F.col("text").isNull() | (F.trim(F.regexp_replace("text", r"\s", "")) != ""))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("cuts_").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(mark).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
