@@ -29,7 +29,7 @@ def duck():
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    plain = lambda v: None if pd.isna(v) else (f"{v:.6f}" if isinstance(v, float) else str(v))
+    plain = lambda v: None if pd.isna(v) else (str(v) if isinstance(v, (bool, str)) or not hasattr(v, "__float__") else f"{float(v):.6f}")
     return sorted((tuple(plain(v) for v in r) for r in df.astype(object).itertuples(index=False)), key=repr)
 
 
