@@ -27,7 +27,7 @@ def fold(column) -> Column:
 @dataclass(frozen=True)
 class Resolution:
     """deck_pilot (deckId, pilot), pilots (pilot, displayName, lowConfidence), dropped (deckId, kept)
-    and the reports: variants, joined, splits, candidates, repeats."""
+    and the reports: variants, joined, splits, candidates, repeats, names, fired holds."""
 
     deck_pilot: DataFrame
     pilots: DataFrame
@@ -37,6 +37,8 @@ class Resolution:
     splits: DataFrame
     candidates: DataFrame
     repeats: DataFrame
+    names: DataFrame  # name_reports
+    fired: DataFrame
 
 
 def _map(spark, rows: dict, *columns: str) -> DataFrame:
@@ -79,6 +81,44 @@ def displays(rows: DataFrame) -> DataFrame:
     return rows.select("pid", "person", at.alias("at")).groupBy("pid").applyInPandas(choose, "pid string, displayName string, spellings array<string>")
 
 
+def name_reports(rows: DataFrame) -> DataFrame:
+    """(pid, displayName, kind, names): ids whose titles name several families over several events,
+    else ids with spellings that nothing relates to the one shown."""
+
+    def report(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("at")
+        pid, people = g["pid"].iloc[0], g["person"].tolist()
+        shown, held = n.display_name(people, pid)
+        named_at = [(x, e, n.full(x)) for x, e in zip(people, g["event"], strict=True) if x]
+        families = {n.surname_key(f[1]) for _, _, f in named_at if f} - {""}
+        out = []
+        if len(families) > 1 and len({e for _, e, f in named_at if f}) > 1:
+            out.append((pid, shown, "multi-name", sorted({x for x, _, _ in named_at})))
+        elif odd := sorted(x for x in {x for x, _, _ in named_at} - set(held) if not n.relation(x, shown)):
+            out.append((pid, shown, "unexplained", odd))
+        return pd.DataFrame(out, columns=["pid", "displayName", "kind", "names"])
+
+    at = F.row_number().over(Window.partitionBy("pid").orderBy("deck_ord"))
+    return rows.select("pid", "person", "event", at.alias("at")).groupBy("pid").applyInPandas(report, "pid string, displayName string, kind string, names array<string>")
+
+
+def fired_holds(c: Curation, joined: DataFrame, deck_pilot: DataFrame, decks: DataFrame, splits: DataFrame) -> DataFrame:
+    """(a, b, settles_on, as_of, trigger): holds on pairs that new evidence may settle: both ids were
+    joined under one name, met at one event, or one of them was split at an event."""
+    spark = deck_pilot.sparkSession
+    held = spark.createDataFrame([(*k, *v) for k, v in c.holds.items() if len(k) == 2], "a string, b string, settles_on string, as_of string")
+    at = deck_pilot.join(decks.select("deckId", "event").where("event <> 'nan'"), "deckId").select("pilot", "event").distinct()
+    met = at.select(F.col("pilot").alias("a"), "event").join(at.select(F.col("pilot").alias("b"), "event"), "event").select("a", "b").distinct()
+    ids = joined.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).where("a <> b").distinct()
+    split = splits.select("pilot").distinct()
+    found = [
+        held.join(ids, ["a", "b"], "left_semi").withColumn("trigger", F.lit("joined_name")),
+        held.join(met, ["a", "b"], "left_semi").withColumn("trigger", F.lit("shared_event")),
+        held.join(split, (held["a"] == split["pilot"]) | (held["b"] == split["pilot"]), "left_semi").withColumn("trigger", F.lit("event_split")),
+    ]
+    return reduce(DataFrame.unionByName, found).where(F.col("settles_on") == F.col("trigger"))
+
+
 def join_identical(pilots: DataFrame, decks: DataFrame, c: Curation) -> tuple[DataFrame, DataFrame]:
     """Pilots of one folded name become one, but for ids kept apart. (pid, target, displayName,
     lowConfidence) and (displayName, pilot, ids) of what was joined."""
@@ -150,6 +190,7 @@ def resolve(decks: DataFrame, contains: DataFrame, c: Curation | None = None) ->
     nobody = fold("pid").isin(*n.NULL_IDS)
     own = F.when(F.col("person").isNotNull(), F.concat(F.lit("nan:"), "folded")).otherwise(F.concat(F.lit("nan:deck:"), "deckId"))
     real = displays(rows.where(~nobody)).join(_map(spark, c.names, "pid", "given_"), "pid", "left")
+    reports = name_reports(rows.where(~nobody))
     variants = real.where(F.size("spellings") > 1).select("pid", "displayName", "spellings")
     rows = rows.withColumn("pid", F.when(nobody, own).otherwise(F.col("pid")))
     unnamed = rows.where(F.col("pid").startswith("nan:")).groupBy("pid").agg(F.min_by(F.coalesce("person", F.lit(n.UNNAMED)), "deck_ord").alias("displayName"))
@@ -167,7 +208,7 @@ def resolve(decks: DataFrame, contains: DataFrame, c: Curation | None = None) ->
     many = people.groupBy("pid").agg(F.count("*").alias("people"))
     base = moved.select(F.col("target").alias("pid"), "displayName", "lowConfidence").distinct()
     pilots = people.join(many, "pid").join(base, "pid").select("pilot", F.when(F.col("people") > 1, F.concat("displayName", F.lit(" "), (F.col("slot") + 1).cast("string"))).otherwise(F.col("displayName")).alias("displayName"), (F.col("lowConfidence") | (F.col("people") > 1)).alias("lowConfidence"))
-    splits = many.where("people > 1").join(base, "pid").select("displayName", "people")
+    splits = many.where("people > 1").join(base, "pid").select(F.col("pid").alias("pilot"), "displayName", "people")
     whole = base.where(~F.col("pid").startswith("nan:")).select(F.col("pid").alias("pilot"), "displayName")
     repeats = decks.groupBy("pilot", "event").agg(F.count("*").alias("decks")).where("decks > 1")
-    return Resolution(slots.select("deckId", "pilot"), pilots, reduce(DataFrame.unionByName, [gone, late]), variants, joined, splits, under_merges(whole, c), repeats)
+    return Resolution(slots.select("deckId", "pilot"), pilots, reduce(DataFrame.unionByName, [gone, late]), variants, joined, splits, under_merges(whole, c), repeats, reports, fired_holds(c, joined, slots.select("deckId", F.col("pid").alias("pilot")), decks, splits))

@@ -5,7 +5,7 @@ from loomspark.functions.titles import cleansed
 from loomspark.operators import build, identity, ingest
 from loomspark.plans import ingest_plan
 from loomspark.plans.specs import MetaShare, run_query, run_series
-from loomspark.sources import curation, snapshot
+from loomspark.sources import brief, curation, snapshot
 from tests.snapshots import card, deck, write
 
 CARDS = [card("a"), card("b", "Lands"), card("c", points=2, companion=3)]
@@ -88,10 +88,20 @@ def test_identity(spark, tmp_path):
     assert {who["d5"], who["d6"]} == {"p5", "p5#2"} and "d7" not in who
     assert [(x.deckId, x.kept) for x in r.dropped.collect()] == [("d7", "d5")]
     assert [(x.a, x.b, x.relation, x.state) for x in r.candidates.collect()] == [("p1", "p2", "nickname", "candidate")]
+    assert r.names.count() == 0 and "nickname: `p1` and `p2`" in brief.brief(r)
     merged = identity.resolve(s.decks, s.contains, curation.parse({"merge": [{"ids": ["p1", "p2"], "canonical": "p2"}]}))
     assert {x.deckId: x.pilot for x in merged.deck_pilot.collect()}["d1"] == "p2"
 
 
+def test_several_families_and_fired_holds(spark, tmp_path):
+    decks = [deck("d1", "p1", "1st Ann Bell - S - E1"), deck("d2", "p1", "2nd Zed Quint - S - E2", "E2"), deck("d3", "p2", "3rd Bo Cole - S - E1")]
+    s = snapshot.load_checked(spark, write(tmp_path, "20240101T000000Z", decks, CARDS, {}))
+    c = curation.parse({"hold": [{"ids": ["p1", "p2"], "settles_on": "shared_event", "as_of": "20240101T000000Z"}]})
+    r = identity.resolve(s.decks, s.contains, c)
+    assert [(x.pid, x.kind, x.names) for x in r.names.collect()] == [("p1", "multi-name", ["Ann Bell", "Zed Quint"])]
+    assert [(x.a, x.b, x.trigger) for x in r.fired.collect()] == [("p1", "p2", "shared_event")]
+
+
 @pytest.mark.parametrize("bad", [
     {"merge": [{"ids": ["a", "b"], "canonical": "c"}]}, {"merge": [{"ids": ["a"], "canonical": "a"}]}, {"odd": []}, {"reject": [{"ids": ["a", "b"]}], "merge": [{"ids": ["a", "b"], "canonical": "a"}]},
     {"merge": [{"ids": ["a", "b"], "canonical": "a"}, {"ids": ["b", "c"], "canonical": "c"}]}, {"hold": [{"ids": ["a"], "settles_on": "x", "as_of": "2024"}]}, {"name": [{"pilot": "a", "display_name": "x"}, {"pilot": "a", "display_name": "y"}]},
