@@ -42,7 +42,7 @@ class WordCache:
     """The words this process has encoded lately, sorted by hash. It only saves time: when it
     is full it starts again from the last slice's words."""
 
-    MOST = 1_500_000
+    MOST = 400_000
 
     def __init__(self):
         self.keys, self.counts, self.first, self.ids = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
@@ -388,7 +388,7 @@ def encoded(docs: DataFrame, model: str | Pieces = MODEL) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int32()), ("exact", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, most=4 << 20):
+        for part in slices(batches, most=2 << 20):
             column = part.column("text")
             ids, offs = encode(p, column)
             back, ends = decode(p, ids, offs)

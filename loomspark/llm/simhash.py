@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.textops import Words, flat, mix, ranges, slices, stored
+from loomspark.llm.textops import Words, flat, mix, ranges, release, slices, stored
 
 BITS, MOST, MOST_PAIRS, PIVOTS, BANDS, LIGHT = 128, 28, 36, 32, 48, 3
 WORDS64 = 4  # two for words, two for pairs of words
@@ -173,8 +173,8 @@ def near_edges(prints: DataFrame, most: int = MOST, most_pairs: int = MOST_PAIRS
     def bands_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "doc_id", *_FP]
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 fp = np.stack([part.column(f).to_numpy() for f in _FP], axis=1).view(np.uint64)
                 keys = keys_of(fp, columns)
                 doc = np.repeat(part.column("doc_id").to_numpy(), bands)
@@ -182,9 +182,10 @@ def near_edges(prints: DataFrame, most: int = MOST, most_pairs: int = MOST_PAIRS
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(doc), *[pa.array(flat_fp[:, k]) for k in range(WORDS64)]], names=names)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches))
-        if not held.num_rows:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
             return
+        held = pa.Table.from_batches(parts)
         key = held["key"].to_numpy()
         by = np.argsort(key, kind="stable")
         key = key[by]
@@ -196,6 +197,8 @@ def near_edges(prints: DataFrame, most: int = MOST, most_pairs: int = MOST_PAIRS
         a, b, _, _ = pairs_in(key, fp, table, most, most_pairs)
         src, dst = forest(held["doc_id"].to_numpy()[order], a, b)
         yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
+        del parts, held, key, by, many, order, fp, table, a, b
+        release()
 
     long4 = ", ".join(f"{f} long" for f in _FP)
     rows = prints.select("doc_id", *_FP).mapInArrow(bands_out, f"key long, doc_id long, {long4}")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.textops import Words, flat, mix, prefix, ranges, sized_join, slices, span_hash
+from loomspark.llm.textops import Words, flat, mix, prefix, ranges, release, sized_join, slices, span_hash
 
 WINDOW, GRAM = 50, 8
 ANCHOR_SCHEMA = "h long, c long, doc_id long, at int, lo int, hi int"
@@ -94,6 +94,8 @@ def judge_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     mixed = ~dup & (contexts[group] > 1)
     keep = dup | mixed
     yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, c, doc, at, lo, hi, dup, mixed)], schema=_ARROW_SORTED)
+    del held, order, h, c, doc, at, lo, hi, again, dup, same, group, mixed, keep
+    release()
 
 
 JUDGED_SCHEMA = ANCHOR_SCHEMA + ", dup boolean, mixed boolean"
@@ -151,6 +153,8 @@ def repeats_in(equal_windows: Callable[[list[bytes], np.ndarray], np.ndarray], w
         begins = np.concatenate(([True], (np.diff(hit) != 1) | (of[hit][1:] != of[hit][:-1]) | (np.diff(start[hit]) != 1)))
         last = np.concatenate((np.flatnonzero(begins)[1:] - 1, [len(hit) - 1]))
         yield pa.RecordBatch.from_pydict({"doc_id": pa.array(of[hit][begins], pa.int64()), "start": pa.array(start[hit][begins], pa.int32()), "end": pa.array(start[hit][last] + window, pa.int32())})
+        del held, h, doc, lo, hi, number, start, of, order, dup
+        release()
 
     return run
 
