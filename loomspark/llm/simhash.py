@@ -10,7 +10,10 @@ Pivot tables: the Hamming distances from each fingerprint to ``PIVOTS`` referenc
 fingerprints. By the triangle inequality a pair whose coordinates differ by more than MOST
 anywhere is no near copy; such pairs go before any fingerprint is compared, and what
 survives is verified bit by bit. The table alone would need all pairs, so bands of
-fingerprint bits (``BANDS`` samples, wider as the corpus grows) first choose the pairs.
+fingerprint bits first choose the pairs: each of ``BANDS`` samples of bits routes a row to a
+worker, which compares what agrees in one of the band's sub-bands of further bits as well.
+Sub-bands are wider as the corpus grows, and so many that at every size a pair at distance
+MOST is compared with probability ``RECALL``; their number costs computing, no shuffle.
 
 Equal fingerprints count once and join their group directly, so thousands of copies make
 no pairs. Defined cases: a null doc_id is never grouped; a null text neither; a text without
@@ -31,6 +34,7 @@ from pyspark.sql import functions as F
 from loomspark.llm.textops import Words, flat, mix, ranges, release, slices, stored
 
 BITS, MOST, MOST_PAIRS, PIVOTS, BANDS, LIGHT = 128, 28, 36, 32, 48, 3
+ROUTE, RECALL = 8, 0.95
 WORDS64 = 4  # two for words, two for pairs of words
 _FP = [f"f{k}" for k in range(WORDS64)]
 _SEEDS = mix(np.arange(1, WORDS64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -92,32 +96,58 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
-def band_columns(width: int, bands: int = BANDS) -> np.ndarray:
-    """The bits of each band: shuffled bits dealt without repeating until all have been used."""
-    rng, out = np.random.default_rng(7), []
+def sharing(width: int, distance: int, bits: int = BITS) -> float:
+    """The probability that fingerprints at a distance agree in ``width`` of ``bits`` bits."""
+    return math.prod(max(0, bits - distance - i) / (bits - i) for i in range(width))
+
+
+def band_plan(count: int, bands: int = BANDS, most: int = MOST) -> tuple[int, int, int]:
+    """(bits that route a row, further bits of a sub-band, sub-bands of each band) with which a
+    pair at distance ``most`` is compared with probability ``RECALL`` at least. The width of
+    both together grows with the corpus, and the number of sub-bands with the width."""
+    width = max(10, math.ceil(math.log2(count + 1)) - 2)
+    each = 1 - (1 - RECALL) ** (1 / bands)
+    route = next((w for w in range(ROUTE, 0, -1) if each <= 0.6 * sharing(w, most)), 0)
+    fine = min(width, BITS - most) - route
+    missed = 1 - min(each / sharing(route, most), 0.999)
+    return route, fine, math.ceil(math.log(missed) / math.log1p(-sharing(fine, most, BITS - route)))
+
+
+def dealt_bits(rng: np.random.Generator, rows: int, width: int, banned: list[int]) -> list[list[int]]:
+    """``rows`` samples of bits, dealt without repeating until all have been used."""
+    out: list[list[int]] = []
     deck: list[int] = []
-    for _ in range(bands):
-        band: list[int] = []
-        while len(band) < width:
+    for _ in range(rows):
+        row: list[int] = []
+        while len(row) < width:
             if not deck:
-                deck = [b for b in rng.permutation(BITS).tolist() if b not in band]
-            band.append(deck.pop())
-        out.append(band)
-    return np.array(out)
-
-
-def keys_of(prints: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """One key per fingerprint and band, (n, bands); the band's number is mixed in."""
-    out = np.zeros((len(prints), len(columns)), np.uint64)
-    one = np.uint64(1)
-    for b, band in enumerate(columns):
-        key = np.full(len(prints), b, np.uint64)
-        for bit in band:
-            key = (key << one) | ((prints[:, bit // 64] >> np.uint64(bit % 64)) & one)
-        out[:, b] = mix(key)
+                deck = [b for b in rng.permutation(BITS).tolist() if b not in row and b not in banned]
+            row.append(deck.pop())
+        out.append(row)
     return out
 
 
+def masks_of(samples: list[list[int]]) -> np.ndarray:
+    """(samples, 2) words with the sampled bits set."""
+    out = np.zeros((len(samples), 2), np.uint64)
+    for k, sample in enumerate(samples):
+        for bit in sample:
+            out[k, bit // 64] |= np.uint64(1) << np.uint64(bit % 64)
+    return out
+
+
+def band_masks(route: int, fine: int, subs: int, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of the bands, (bands, 2), and of their sub-bands, (bands, subs, 2)."""
+    rng = np.random.default_rng(7)
+    coarse = dealt_bits(rng, bands, route, [])
+    return masks_of(coarse), np.stack([masks_of(dealt_bits(rng, subs, fine, c)) for c in coarse])
+
+
+def keys_of(prints: np.ndarray, masks: np.ndarray, seed: np.ndarray | int = 0) -> np.ndarray:
+    """A key of the masked bits; masks and seed broadcast against the fingerprints."""
+    return mix((prints[..., 0] & masks[..., 0]) + mix((prints[..., 1] & masks[..., 1]) + mix(np.asarray(seed, np.uint64))))
+
+
 def near(a: np.ndarray, b: np.ndarray, most: int = MOST, most_pairs: int = MOST_PAIRS) -> np.ndarray:
     """The definition of a near copy, on fingerprints of shape (..., 4)."""
     return (distances(a[..., :2], b[..., :2]) <= most) & (distances(a[..., 2:], b[..., 2:]) <= most_pairs)
@@ -166,42 +196,53 @@ def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
 def near_edges(prints: DataFrame, most: int = MOST, most_pairs: int = MOST_PAIRS, bands: int = BANDS) -> DataFrame:
     """(src, dst) edges, dst < src, that connect all near fingerprints found. ``prints`` has
     each distinct fingerprint once, with the smallest doc_id that has it as ``doc_id``."""
-    count = prints.count()
-    width = max(10, math.ceil(math.log2(count + 1)) - 2)
-    columns, pivots = band_columns(width, bands), pivot_prints(prints)
+    route, fine, subs = band_plan(prints.count(), bands, most)
+    coarse, masks = band_masks(route, fine, subs, bands)
+    pivots = pivot_prints(prints)
 
     def bands_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "doc_id", *_FP]
+        names = ["key", "band", "doc_id", *_FP]
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 fp = np.stack([part.column(f).to_numpy() for f in _FP], axis=1).view(np.uint64)
-                keys = keys_of(fp, columns)
+                keys = keys_of(fp[:, None], coarse[None], np.arange(bands))
                 doc = np.repeat(part.column("doc_id").to_numpy(), bands)
                 flat_fp = np.repeat(fp, bands, axis=0).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(doc), *[pa.array(flat_fp[:, k]) for k in range(WORDS64)]], names=names)
+                band = np.tile(np.arange(bands, dtype=np.int32), len(fp))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(band), pa.array(doc), *[pa.array(flat_fp[:, k]) for k in range(WORDS64)]], names=names)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         held = pa.Table.from_batches(parts)
-        key = held["key"].to_numpy()
-        by = np.argsort(key, kind="stable")
-        key = key[by]
-        many = np.concatenate(([False], key[1:] == key[:-1]))
-        many |= np.concatenate((many[1:], [False]))
-        order, key = by[many], key[many]
-        fp = np.stack([held[f].to_numpy()[order] for f in _FP], axis=1).view(np.uint64)
+        fp = np.stack([held[f].to_numpy() for f in _FP], axis=1).view(np.uint64)
+        routed, band = held["key"].to_numpy().view(np.uint64), held["band"].to_numpy()
+        ids, who = np.unique(held["doc_id"].to_numpy(), return_inverse=True)
         table = np.stack([distances(fp[:, :2], p[:2]) for p in pivots], axis=1).astype(np.int16)
-        a, b, _, _ = pairs_in(key, fp, table, most, most_pairs)
-        src, dst = forest(held["doc_id"].to_numpy()[order], a, b)
-        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
-        del parts, held, key, by, many, order, fp, table, a, b
+        root = np.arange(len(ids))
+        for k in range(subs):
+            key = keys_of(fp, masks[band, k], routed)
+            by = np.argsort(key, kind="stable")
+            key = key[by]
+            # runs of equal keys whose documents aren't all in one group already
+            heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            of = root[who[by]]
+            open_ = np.minimum.reduceat(of, heads) < np.maximum.reduceat(of, heads)
+            use = np.repeat(open_, np.diff(np.concatenate((heads, [len(key)]))))
+            order, key = by[use], key[use]
+            a, b, _, _ = pairs_in(key, fp[order], table[order], most, most_pairs)
+            node, low = forest(root[who[order]], a, b)
+            root[node] = low
+            root = root[root]
+        keep = np.flatnonzero(root != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[root[keep]])], names=["src", "dst"])
+        del parts, held, fp, routed, band, ids, who, table, root, key, by, heads, of, open_, use, order, a, b, node, low
         release()
 
     long4 = ", ".join(f"{f} long" for f in _FP)
-    rows = prints.select("doc_id", *_FP).mapInArrow(bands_out, f"key long, doc_id long, {long4}")
+    rows = prints.select("doc_id", *_FP).mapInArrow(bands_out, f"key long, band int, doc_id long, {long4}")
     return rows.repartition("key").mapInArrow(join, "src long, dst long").distinct()
 
 

@@ -185,3 +185,31 @@ def test_pivot_table_only_discards_what_is_far():
     assert formed == 300 * 299 // 2 and let < formed
     want = {(i, j) for i in range(300) for j in range(i + 1, 300) if simhash.near(prints[i], prints[j])}
     assert set(zip(a.tolist(), b.tolist())) == want
+
+
+@pytest.mark.parametrize("count", [100, 10_000, 240_000, 14_000_000, 1_000_000_000])
+def test_recall_at_the_threshold_stays_as_the_corpus_grows(count):
+    rng = np.random.default_rng(9)
+    one = rng.integers(0, 1 << 63, (4000, 4), dtype=np.uint64)
+    flips = [rng.choice(simhash.BITS, simhash.MOST, replace=False).tolist() for _ in one]
+    two = one.copy()
+    two[:, :2] ^= simhash.masks_of(flips)
+    assert (simhash.distances(one[:, :2], two[:, :2]) == simhash.MOST).all()
+    coarse, fine = simhash.band_masks(*simhash.band_plan(count))
+    met = np.zeros(len(one), bool)
+    for band, subs in zip(coarse, fine, strict=True):
+        routed = simhash.keys_of(one, band) == simhash.keys_of(two, band)
+        met |= routed & (simhash.keys_of(one[:, None], subs) == simhash.keys_of(two[:, None], subs)).any(axis=1)
+    assert met.mean() >= 0.9
+
+
+def test_pairs_at_the_threshold_are_found_when_bands_are_wide(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    one = rng.integers(0, 1 << 63, (300, 4), dtype=np.uint64)
+    two = one.copy()
+    two[:, :2] ^= simhash.masks_of([rng.choice(simhash.BITS, simhash.MOST, replace=False).tolist() for _ in one])
+    rows = [(2 * i + k, *map(int, p.view(np.int64))) for i, ps in enumerate(zip(one, two, strict=True)) for k, p in enumerate(ps)]
+    plan = simhash.band_plan
+    monkeypatch.setattr(simhash, "band_plan", lambda count, *more: plan(14_000_000, *more))
+    got = {(r.src, r.dst) for r in simhash.near_edges(spark.createDataFrame(rows, "doc_id long, f0 long, f1 long, f2 long, f3 long")).collect()}
+    assert got <= {(2 * i + 1, 2 * i) for i in range(300)} and len(got) >= 0.9 * 300
