@@ -193,22 +193,29 @@ def stretches(marked: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, gram: int = GRAM, coverage: float = COVERAGE, item_words: int = ITEM_WORDS) -> DataFrame:
-    """``docs`` without the marked words; n_chars follows."""
-    out = docs
-    for items in dealt(benchmark, item_words):
-        out = _removed(out, items, (length, gram, coverage))
-    return out
-
-
-def _removed(docs: DataFrame, items, rules) -> DataFrame:
+    """``docs`` without the marked words; n_chars follows. All lists of items mark the words of
+    the original text, which is cut once."""
+    lists, rules = dealt(benchmark, item_words), (length, gram, coverage)
     names, has_count = docs.columns, "n_chars" in docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = matcher(items, *rules)
-        for part in slices(batches):
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, Words, np.ndarray]]:
+        parts = slices(batches)
+        if len(lists) > 1:  # held, so that each automaton is built once and sees the texts as they were
+            parts = list(parts)
+            marks = [np.zeros(0, bool)] * len(parts)
+            for items in lists:
+                found = matcher(items, *rules)
+                for k, part in enumerate(parts):
+                    more = found.marks(normalised(*flat(part.column("text"))))
+                    marks[k] = marks[k] | more if len(marks[k]) else more
+        for k, part in enumerate(parts):
             raw, offs = flat(part.column("text"))
             w = normalised(raw, offs)
-            doc, begin, end = stretches(found.marks(w), w)
+            yield part, raw, offs, w, marks[k] if len(lists) > 1 else matcher(lists[0], *rules).marks(w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, raw, offs, w, marks in marked(batches):
+            doc, begin, end = stretches(marks, w)
             if len(doc):
                 known = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
                 texts, keep, whole = part.column("text").to_pylist(), np.ones(part.num_rows, bool), raw.tobytes()

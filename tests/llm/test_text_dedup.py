@@ -213,3 +213,12 @@ def test_pairs_at_the_threshold_are_found_when_bands_are_wide(spark, monkeypatch
     monkeypatch.setattr(simhash, "band_plan", lambda count, *more: plan(14_000_000, *more))
     got = {(r.src, r.dst) for r in simhash.near_edges(spark.createDataFrame(rows, "doc_id long, f0 long, f1 long, f2 long, f3 long")).collect()}
     assert got <= {(2 * i + 1, 2 * i) for i in range(300)} and len(got) >= 0.9 * 300
+
+
+def test_several_automata_cut_what_one_cuts(spark):
+    shared = [f"w{i}" for i in range(13)]
+    items = [(1, " ".join([*shared, *(f"a{i}" for i in range(10))])), (2, " ".join([*shared, *(f"b{i}" for i in range(9))])), *ITEMS]
+    rows = [(1, f"before {items[1][1]} after"), (2, items[0][1]), (3, "x y " + " ".join(shared)), (4, f"{items[0][1]} {items[1][1]}"), (5, None), (None, items[1][1]), (6, "z " * 40)]
+    docs, bench = table(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    cut = lambda most: sorted(((r.doc_id, r.text) for r in decontaminate.decontaminated(docs, bench, item_words=most).collect()), key=repr)
+    assert cut(10) == cut(decontaminate.ITEM_WORDS) and (1, "before after") in cut(10)
