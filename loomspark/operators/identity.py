@@ -102,21 +102,50 @@ def name_reports(rows: DataFrame) -> DataFrame:
     return rows.select("pid", "person", "event", at.alias("at")).groupBy("pid").applyInPandas(report, "pid string, displayName string, kind string, names array<string>")
 
 
-def fired_holds(c: Curation, joined: DataFrame, deck_pilot: DataFrame, decks: DataFrame, splits: DataFrame) -> DataFrame:
-    """(a, b, settles_on, as_of, trigger): holds on pairs that new evidence may settle: both ids were
-    joined under one name, met at one event, or one of them was split at an event."""
-    spark = deck_pilot.sparkSession
-    held = spark.createDataFrame([(*k, *v) for k, v in c.holds.items() if len(k) == 2], "a string, b string, settles_on string, as_of string")
-    at = deck_pilot.join(decks.select("deckId", "event").where("event <> 'nan'"), "deckId").select("pilot", "event").distinct()
-    met = at.select(F.col("pilot").alias("a"), "event").join(at.select(F.col("pilot").alias("b"), "event"), "event").select("a", "b").distinct()
-    ids = joined.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).where("a <> b").distinct()
-    split = splits.select("pilot").distinct()
-    found = [
-        held.join(ids, ["a", "b"], "left_semi").withColumn("trigger", F.lit("joined_name")),
-        held.join(met, ["a", "b"], "left_semi").withColumn("trigger", F.lit("shared_event")),
-        held.join(split, (held["a"] == split["pilot"]) | (held["b"] == split["pilot"]), "left_semi").withColumn("trigger", F.lit("event_split")),
-    ]
-    return reduce(DataFrame.unionByName, found).where(F.col("settles_on") == F.col("trigger"))
+def fired_holds(c: Curation, moved: DataFrame, rows: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """(a, b, settles_on, as_of, trigger): holds whose evidence moved, whatever was guessed to settle
+    them; b is null where one id is held. Pairs are read where equal names joined them: both on one
+    pilot, else met at one event. A single id is read by its own decks: two families at one event.
+    Else either has decks that its ``as_of`` snapshot (``seen``: stamp, deckId) lacks. Holds are
+    written by hand, so their decks are few and read on the driver."""
+    spark = rows.sparkSession
+    schema = "a string, b string, settles_on string, as_of string, trigger string"
+    if not c.holds:
+        return spark.createDataFrame([], schema)
+    ids = sorted({c.canonical(x) for k in c.holds for x in k})
+    target = {r.pid: r.target for r in moved.where(F.col("pid").isin(ids)).select("pid", "target").collect()}
+    held = rows.where(F.col("pid").isin(ids) | F.col("target").isin(sorted(set(target.values())))).select("deckId", "event", "person", "pid", "target").collect()
+    stamps: set = set()
+    known: set = set()
+    if seen is not None:
+        asked = seen.where(F.col("stamp").isin(sorted({as_of for _, as_of in c.holds.values()})))
+        stamps = {r.stamp for r in asked.select("stamp").distinct().collect()}
+        decks = spark.createDataFrame([(r.deckId,) for r in held], "deckId string")
+        known = {tuple(r) for r in asked.join(F.broadcast(decks), "deckId", "left_semi").select("stamp", "deckId").collect()}
+    families = lambda r: n.surname_key(f[1]) if r.person and (f := n.full(r.person)) else ""
+    out = []
+    for key, (settles_on, as_of) in sorted(c.holds.items()):
+        base = [c.canonical(x) for x in key]
+        nodes = [target.get(x, x) for x in base]
+        events = [{r.event for r in held if r.target == x} - {"nan", None} for x in nodes]
+        mine = [r for r in held if (r.pid == base[0] if len(key) == 1 else r.target in nodes)]
+        trigger = None
+        if len(key) == 1:
+            told: dict = {}
+            for r in mine:
+                if r.event not in ("nan", None) and families(r):
+                    told.setdefault(r.event, set()).add(families(r))
+            if any(len(x) > 1 for x in told.values()):
+                trigger = "event_split"
+        elif nodes[0] == nodes[1]:
+            trigger = "joined_name"
+        elif events[0] & events[1]:
+            trigger = "shared_event"
+        if trigger is None and as_of in stamps and any((as_of, r.deckId) not in known for r in mine):
+            trigger = "new_decks"
+        if trigger:
+            out.append((key[0], key[1] if len(key) == 2 else None, settles_on, as_of, trigger))
+    return spark.createDataFrame(out, schema)
 
 
 def join_identical(pilots: DataFrame, decks: DataFrame, c: Curation) -> tuple[DataFrame, DataFrame]:
@@ -181,7 +210,7 @@ def under_merges(pilots: DataFrame, c: Curation) -> DataFrame:
     return pairs.join(F.broadcast(spark.createDataFrame(decided, "a string, b string, state string")), ["a", "b"], "left").select("a", "b", "relation", F.coalesce("state", F.lit("candidate")).alias("state"))
 
 
-def resolve(decks: DataFrame, contains: DataFrame, c: Curation | None = None) -> Resolution:
+def resolve(decks: DataFrame, contains: DataFrame, c: Curation | None = None, seen: DataFrame | None = None) -> Resolution:
     """The whole of it, in order: ids, duplicates, names, null ids, equal names, events, reports."""
     c = c or Curation()
     spark = decks.sparkSession
@@ -211,4 +240,4 @@ def resolve(decks: DataFrame, contains: DataFrame, c: Curation | None = None) ->
     splits = many.where("people > 1").join(base, "pid").select(F.col("pid").alias("pilot"), "displayName", "people")
     whole = base.where(~F.col("pid").startswith("nan:")).select(F.col("pid").alias("pilot"), "displayName")
     repeats = decks.groupBy("pilot", "event").agg(F.count("*").alias("decks")).where("decks > 1")
-    return Resolution(slots.select("deckId", "pilot"), pilots, reduce(DataFrame.unionByName, [gone, late]), variants, joined, splits, under_merges(whole, c), repeats, reports, fired_holds(c, joined, slots.select("deckId", F.col("pid").alias("pilot")), decks, splits))
+    return Resolution(slots.select("deckId", "pilot"), pilots, reduce(DataFrame.unionByName, [gone, late]), variants, joined, splits, under_merges(whole, c), repeats, reports, fired_holds(c, moved, rows, seen))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from functools import reduce
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions.titles import cleansed
@@ -12,7 +15,7 @@ from loomspark.session import materialised
 from loomspark.sources import artifact, curation, snapshot
 
 
-def build_graph(s: snapshot.Snapshot, c: curation.Curation) -> tuple[Graph, identity.Resolution]:
+def build_graph(s: snapshot.Snapshot, c: curation.Curation, seen: DataFrame | None = None) -> tuple[Graph, identity.Resolution]:
     """The passes in their order: overrides, people, years, duplicates, winners, fields, norms."""
     spark = s.decks.sparkSession
     decks = cleansed(s.decks.withColumn("placementImputed", F.lit(None).cast("string"))).withColumn("normImputed", F.lit(None).cast("string"))
@@ -21,7 +24,7 @@ def build_graph(s: snapshot.Snapshot, c: curation.Curation) -> tuple[Graph, iden
     if c.deck_events:
         decks = build.reassign_events(decks, spark.createDataFrame(list(c.deck_events.items()), "deckId string, toEvent string"))
     decks = materialised(decks, "cleansed")
-    people = identity.resolve(decks, s.contains, c)
+    people = identity.resolve(decks, s.contains, c, seen)
     build.event_years(decks)  # before duplicates go: they must not hide a straddle
     decks = decks.join(people.dropped.select("deckId"), "deckId", "left_anti")
     build.check_sole_winner(decks)
@@ -31,11 +34,13 @@ def build_graph(s: snapshot.Snapshot, c: curation.Curation) -> tuple[Graph, iden
 
 def run(spark: SparkSession, root: str, dictionary: str, out: str) -> Graph:
     """Validate all, gate, build, promote; nothing is written if anything is refused."""
-    held = [snapshot.load_checked(spark, p) for p in snapshot.snapshot_dirs(root)]
+    paths = snapshot.snapshot_dirs(root)
+    held = [snapshot.load_checked(spark, p) for p in paths]
     if not held:
         raise snapshot.SchemaError(f"{root} holds no snapshot")
     whole, flags = ingest.gated_union(held)
-    g, people = build_graph(whole, curation.load_curation(dictionary))
-    reports = {"ingest": [r.asDict() for r in flags.collect()], "reconciliation": {"joined": [r.asDict() for r in people.joined.collect()], "candidates": [r.asDict() for r in people.candidates.collect()]}}
+    seen = reduce(DataFrame.unionByName, [x.decks.select(F.lit(Path(p).name).alias("stamp"), "deckId") for p, x in zip(paths, held, strict=True)])
+    g, people = build_graph(whole, curation.load_curation(dictionary), seen)
+    reports = {"ingest": [r.asDict() for r in flags.collect()], "reconciliation": {"joined": [r.asDict() for r in people.joined.collect()], "candidates": [r.asDict() for r in people.candidates.collect()], "fired": [r.asDict() for r in people.fired.collect()]}}
     artifact.write_graph(g, out, reports)
     return artifact.read_graph(spark, out)

@@ -102,6 +102,16 @@ def test_several_families_and_fired_holds(spark, tmp_path):
     assert [(x.a, x.b, x.trigger) for x in r.fired.collect()] == [("p1", "p2", "shared_event")]
 
 
+def test_holds_fire_on_any_evidence(spark, tmp_path):
+    decks = [deck("d1", "p1", "1st Ann Bell - S - E1"), deck("d2", "p2", "3rd Bo Cole - S - E1"), deck("d3", "p3", "1st Cy Dorn - S - E2", "E2"), deck("d4", "p3", "2nd Di Eck - S - E2", "E2"), deck("d5", "p4", "1st Flo Gray - S - E3", "E3"), deck("d6", "p5", "1st Hal Ives - S - E4", "E4"), deck("d7", "p6", "1st Jo Kent - S - E5", "E5"), deck("d8", "p7", "1st Jo Kent - S - E6", "E6")]
+    s = snapshot.load_checked(spark, write(tmp_path, "20240101T000000Z", decks, CARDS, {d["deckId"]: {"m": [i % 3], "s": []} for i, d in enumerate(decks)}))
+    hold = lambda settles, *ids: {"ids": list(ids), "settles_on": settles, "as_of": "20240101T000000Z"}
+    c = curation.parse({"hold": [hold("joined_name", "p1", "p2"), hold("new_decks", "p3"), hold("event_split", "p4"), hold("event_split", "p5"), hold("shared_event", "p6", "p7")]})
+    seen = spark.createDataFrame([("20240101T000000Z", f"d{i}") for i in (1, 2, 3, 4, 6, 7, 8)], "stamp string, deckId string")
+    fired = identity.resolve(s.decks, s.contains, c, seen).fired.collect()
+    assert {(x.a, x.b, x.trigger) for x in fired} == {("p1", "p2", "shared_event"), ("p3", None, "event_split"), ("p4", None, "new_decks"), ("p6", "p7", "joined_name")} and len(fired) == 4
+
+
 @pytest.mark.parametrize("bad", [
     {"merge": [{"ids": ["a", "b"], "canonical": "c"}]}, {"merge": [{"ids": ["a"], "canonical": "a"}]}, {"odd": []}, {"reject": [{"ids": ["a", "b"]}], "merge": [{"ids": ["a", "b"], "canonical": "a"}]},
     {"merge": [{"ids": ["a", "b"], "canonical": "a"}, {"ids": ["b", "c"], "canonical": "c"}]}, {"hold": [{"ids": ["a"], "settles_on": "x", "as_of": "2024"}]}, {"name": [{"pilot": "a", "display_name": "x"}, {"pilot": "a", "display_name": "y"}]},
