@@ -89,9 +89,10 @@ def judged(shapes: DataFrame, max_luck: float = c.MAX_GEM_LUCK) -> DataFrame:
     return shapes.mapInPandas(run, f"tag {tag}, canon {canon}, decks long, hits long, pilots long, total long, luck double, clears double")
 
 
-def screened(g: Graph) -> DataFrame:
+def screened(g: Graph, max_luck: float | None = None) -> DataFrame:
     held = slices(g)
-    return judged(strata(g, held, candidates(g, held)).select("tag", "canon", "decks", "hits", "pilots", "total", "strata"))
+    shapes = strata(g, held, candidates(g, held)).select("tag", "canon", "decks", "hits", "pilots", "total", "strata")
+    return judged(shapes, c.MAX_GEM_LUCK if max_luck is None else max_luck)
 
 
 def hidden_gems(g: Graph) -> DataFrame:
@@ -110,8 +111,13 @@ def hidden_gems(g: Graph) -> DataFrame:
 
 
 def expected_by_luck(g: Graph) -> DataFrame:
-    """One row: gems that luck alone would admit, over everything screened; summed in order."""
-    lists = screened(g).agg(F.array_sort(F.collect_list("clears")).alias("x"))
+    """One row: gems that luck alone would admit, over everything screened; summed in order. The
+    bar is the weakest drawn gem's luck where the budget of nodes cuts the list."""
+    judged_ = screened(g).where(F.col("luck") <= c.MAX_GEM_LUCK)
+    drawn = hidden_gems(g).select("tag", "canon", F.lit(True).alias("drawn"))
+    cut = judged_.join(drawn, ["tag", "canon"], "left").agg(F.count("*").alias("admitted"), F.count("drawn").alias("drawn"), F.max(F.when(F.col("drawn"), F.col("luck"))).alias("weakest")).first()
+    bar = cut.weakest if 0 < cut.drawn < cut.admitted else c.MAX_GEM_LUCK
+    lists = screened(g, bar).agg(F.array_sort(F.collect_list("clears")).alias("x"))
     return lists.select(F.aggregate("x", F.lit(0.0), lambda a, b: a + b).alias("expected"))
 
 

@@ -56,6 +56,18 @@ def test_gem_tails():
     assert gems.deflated(0.01, 6, 6) == 0.01 and gems.deflated(0.01, 6, 3) > 0.01
 
 
+def test_expected_by_luck_takes_the_bar_of_the_drawn_list(spark, monkeypatch):
+    g = tpch.graph(spark, SF)
+    monkeypatch.setattr(gems.c, "MAX_GEM_LUCK", 0.5)
+    rows = gems.screened(g).toPandas()
+    monkeypatch.setattr(gems.c, "MAX_GEM_NODES", 40)
+    drawn = gems.hidden_gems(g).toPandas()
+    assert 0 < len(drawn) < (rows.luck <= 0.5).sum()
+    bar = rows.merge(drawn[["tag", "canon"]]).luck.max()
+    assert gems.expected_by_luck(g).first().expected == pytest.approx(gems.screened(g, bar).toPandas().clears.sum())
+    assert bar < 0.5 and gems.expected_by_luck(g).first().expected < rows.clears.sum()
+
+
 def test_golden_compare():
     a = {"x": [{"k": 1, "v": 0.5}, {"k": 2, "v": 1.0}]}
     assert golden.compare(a, {"x": [{"k": 2, "v": 1.0}, {"k": 1, "v": 0.5 + 1e-12}]}) == {}
