@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -135,6 +137,13 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return skip + np.arange(total)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI, resolved as Spark resolves it: without a scheme, in fs.defaultFS."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder below ``spark.checkpoint.dir``; only without that setting, one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -146,7 +155,7 @@ def shared_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file:///tmp/loomspark-shared"
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return qualified(spark, f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -156,6 +165,24 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner", most_rows: int = 200_000) -> DataFrame:
-    """Join; ``small`` is broadcast only if a count finds at most ``most_rows`` rows, else both sides are shuffled."""
-    return big.join(F.broadcast(small) if small.count() <= most_rows else small.hint("merge"), on, how)
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: strings and lists by their length, anything else eight."""
+
+    def size(x: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return 16 + F.coalesce(F.octet_length(x), F.lit(0))
+        if isinstance(kind, T.ArrayType):
+            inner = kind.elementType
+            each = 8 * len(inner.fields) + 16 if isinstance(inner, T.StructType) else 8
+            if isinstance(inner, (T.StringType, T.BinaryType)):
+                return 24 + F.coalesce(F.aggregate(x, F.lit(0), lambda a, y: a + size(y, inner)), F.lit(0))
+            return 24 + each * F.greatest(F.coalesce(F.size(x), F.lit(0)), F.lit(0))
+        return F.lit(8)
+
+    return reduce(lambda a, b: a + b, (size(F.col(f.name), f.dataType) for f in df.schema.fields), F.lit(16)).cast("long")
+
+
+def sized_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", most_bytes: int = 64 << 20) -> DataFrame:
+    """Join; ``small`` is broadcast only if its measured bytes are at most ``most_bytes``, else both sides are shuffled."""
+    measured = small.agg(F.sum(row_bytes(small))).first()[0] or 0
+    return big.join(F.broadcast(small) if measured <= most_bytes else small.hint("merge"), on, how)
