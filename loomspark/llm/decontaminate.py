@@ -1,7 +1,7 @@
 """Operator 10, benchmark decontamination with a generalised suffix automaton.
 
-Benchmark items and documents are normalised to words: runs of letters and digits (any byte
-from 0x80 up counts as a letter), ASCII and Latin-1 capitals lowered, everything else a gap.
+Benchmark items and documents are normalised to words: runs of letters, marks and digits of any
+script, lowered character by character; everything else, such as curly quotes and dashes, is a gap.
 One automaton holds all items; a document's words stream through it and at each word the
 length of the longest match ending there is known. Words are marked
 
@@ -24,40 +24,58 @@ each treated; a document of which no word is left goes; other columns stay as th
 
 from __future__ import annotations
 
+import sys
 from collections import defaultdict
 from collections.abc import Iterator
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.crossparse import SuffixAutomaton
 from loomspark.llm.textops import Words, flat, mix, slices
 from loomspark.llm.windows import merged
 
 LENGTH, GRAM, COVERAGE, ITEM_WORDS = 13, 6, 0.6, 2_000_000
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
-_GAP = np.ones(256, bool)
-for _lo, _hi in ((48, 58), (97, 123), (128, 256)):
-    _GAP[_lo:_hi] = False
+_tables: list[np.ndarray] = []
+
+
+def tables() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point: its small letter, and whether it is a gap. Built once in each process."""
+    if not _tables:
+        points = [chr(c) for c in range(sys.maxunicode + 1)]
+        _tables.append(np.fromiter((ord(c.lower()[0]) for c in points), np.uint32, len(points)))
+        _tables.append(np.fromiter((category(c)[0] not in "LMN" for c in points), bool, len(points)))
+    return _tables[0], _tables[1]
+
+
 _MASK = np.uint64((1 << 22) - 1)
 
 
-def normalised(raw: np.ndarray, offs: np.ndarray) -> Words:
-    low = _FOLD[raw]
-    wide = np.flatnonzero(raw == 0xC3) + 1
-    wide = wide[wide < len(low)]
-    capital = wide[(low[wide] >= 0x80) & (low[wide] <= 0x9E) & (low[wide] != 0x97)]
-    low[capital] += 32
-    return Words(low, offs, _GAP)
+class Normal(Words):
+    """Words of normalised text; ``raw`` and all positions are characters, not bytes."""
+
+    def __init__(self, raw: np.ndarray, offs: np.ndarray):
+        small, gap = tables()
+        lead = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+        self.text = raw.tobytes().decode("utf-8", "replace")
+        points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        super().__init__(small[points], lead[offs], gap)
 
+    def strings(self) -> str:
+        """The normalised characters; words are its slices."""
+        return self.raw.tobytes().decode("utf-32-le", "surrogatepass")
 
-def words_of(text: str | None) -> list[bytes]:
-    raw = np.frombuffer((text or "").encode(), np.uint8)
+
+def normalised(raw: np.ndarray, offs: np.ndarray) -> Normal:
+    return Normal(raw, offs)
+
+
+def words_of(text: str | None) -> list[str]:
+    raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
     w = normalised(raw, np.array([0, len(raw)]))
-    whole = w.raw.tobytes()
+    whole = w.strings()
     return [whole[a:b] for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
 
 
@@ -65,6 +83,55 @@ def pair_hashes(hashes: np.ndarray) -> np.ndarray:
     return mix(hashes[:-1] + mix(hashes[1:]))
 
 
+class SuffixAutomaton:
+    """Generalised suffix automaton over hashable symbols: ``add`` one sequence after the other."""
+
+    __slots__ = ("next", "link", "length")
+
+    def __init__(self):
+        self.next: list[dict] = [{}]
+        self.link, self.length = [-1], [0]
+
+    def add(self, symbols) -> None:
+        nexts, link, length = self.next, self.link, self.length
+        last = 0
+        for s in symbols:
+            to = nexts[last].get(s)
+            if to is not None and length[to] == length[last] + 1:
+                last = to
+                continue
+            if to is None:
+                new = len(nexts)
+                nexts.append({})
+                length.append(length[last] + 1)
+                link.append(0)
+                p = last
+                while p >= 0 and s not in nexts[p]:
+                    nexts[p][s] = new
+                    p = link[p]
+                last = new
+                if p < 0:
+                    continue
+                q = nexts[p][s]
+                if length[q] == length[p] + 1:
+                    link[new] = q
+                    continue
+            else:
+                p, q, new = last, to, -1
+            clone = len(nexts)
+            nexts.append(nexts[q].copy())
+            length.append(length[p] + 1)
+            link.append(link[q])
+            link[q] = clone
+            if new >= 0:
+                link[new] = clone
+            else:
+                last = clone
+            while p >= 0 and nexts[p].get(s) == q:
+                nexts[p][s] = clone
+                p = link[p]
+
+
 class Matcher:
     """The automaton of some items, and the bitmap of their word pairs."""
 
@@ -74,16 +141,16 @@ class Matcher:
         self.stretches: dict[int, int] = {}
         self.bitmap = np.zeros(int(_MASK) + 1, bool)
         for k, (_, text) in enumerate(items):
-            words = words_of(text)
+            raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+            words, hashes = words_of(text), normalised(raw, np.array([0, len(raw)])).hashes()
             self.automaton.add(words)
             self.stretches[k] = len(words) - gram + 1
             for at in range(self.stretches[k]):
                 self.places[tuple(words[at : at + gram])].add((k, at))
             if len(words) > 1:
-                raw = np.frombuffer(b" ".join(words), np.uint8)
-                self.bitmap[(pair_hashes(Words(raw, np.array([0, len(raw)])).hashes()) & _MASK).astype(np.int64)] = True
+                self.bitmap[(pair_hashes(hashes) & _MASK).astype(np.int64)] = True
 
-    def lengths(self, words: list[bytes]) -> list[int]:
+    def lengths(self, words: list[str]) -> list[int]:
         """Length of the longest match that ends at each word."""
         nexts, link, length = self.automaton.next, self.automaton.link, self.automaton.length
         state = size = 0
@@ -99,7 +166,7 @@ class Matcher:
             out.append(size)
         return out
 
-    def marks(self, w: Words) -> np.ndarray:
+    def marks(self, w: Normal) -> np.ndarray:
         """For every word of the slice: is it to go?"""
         n = len(w)
         marked = np.zeros(n, bool)
@@ -114,7 +181,7 @@ class Matcher:
         begin, end = begin[keep], end[keep]
         if not len(begin):
             return marked
-        whole, doc_of = w.raw.tobytes(), np.searchsorted(w.first, begin, "right") - 1
+        whole, doc_of = w.strings(), np.searchsorted(w.first, begin, "right") - 1
         per_doc: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
         for a, b, d in zip(begin.tolist(), end.tolist(), doc_of.tolist(), strict=True):
             words = [whole[s:e] for s, e in zip(w.starts[a:b].tolist(), w.ends[a:b].tolist(), strict=True)]
@@ -198,7 +265,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH,
     lists, rules = dealt(benchmark, item_words), (length, gram, coverage)
     names, has_count = docs.columns, "n_chars" in docs.columns
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, Words, np.ndarray]]:
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Normal, np.ndarray]]:
         parts = slices(batches)
         if len(lists) > 1:  # held, so that each automaton is built once and sees the texts as they were
             parts = list(parts)
@@ -209,16 +276,15 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH,
                     more = found.marks(normalised(*flat(part.column("text"))))
                     marks[k] = marks[k] | more if len(marks[k]) else more
         for k, part in enumerate(parts):
-            raw, offs = flat(part.column("text"))
-            w = normalised(raw, offs)
-            yield part, raw, offs, w, marks[k] if len(lists) > 1 else matcher(lists[0], *rules).marks(w)
+            w = normalised(*flat(part.column("text")))
+            yield part, w, marks[k] if len(lists) > 1 else matcher(lists[0], *rules).marks(w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, raw, offs, w, marks in marked(batches):
+        for part, w, marks in marked(batches):
             doc, begin, end = stretches(marks, w)
             if len(doc):
                 known = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-                texts, keep, whole = part.column("text").to_pylist(), np.ones(part.num_rows, bool), raw.tobytes()
+                texts, keep, whole, offs = part.column("text").to_pylist(), np.ones(part.num_rows, bool), w.text, w.offs
                 changed = np.zeros(part.num_rows, bool)
                 for d in np.unique(doc).tolist():
                     if not known[d]:
@@ -228,7 +294,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH,
                         kept.append(whole[at : w.starts[a]])
                         at = w.starts[b] if b < w.first[d + 1] else offs[d + 1]
                         left -= b - a
-                    texts[d], changed[d], keep[d] = b"".join([*kept, whole[at : offs[d + 1]]]).decode("utf-8", "replace"), True, left > 0
+                    texts[d], changed[d], keep[d] = "".join([*kept, whole[at : offs[d + 1]]]), True, left > 0
                 columns = dict(zip(names, part.columns, strict=True))
                 columns["text"] = pa.array(texts, pa.string())
                 if has_count:
@@ -245,7 +311,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contamination_sql(length: int = LENGTH, gram: int = GRAM, coverage: float = COVERAGE) -> str:
-    words = "regexp_extract_all(lower(text), '[a-z0-9\\x{80}-\\x{10FFFF}]+')"
+    words = "regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+')"
     return f"""
 WITH dw AS (SELECT DISTINCT doc_id, {words} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 bw AS (SELECT DISTINCT item_id, text, {words} AS ws FROM benchmark WHERE text IS NOT NULL),
