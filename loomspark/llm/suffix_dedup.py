@@ -9,8 +9,9 @@ contexts that remain are sorted deep-shallow: multikey quicksort with keys of ei
 down to a shallow depth, then a blind trie for each group that is still tied.
 
 Defined cases: rows with a null doc_id or text take no part; a text of under 50 words has
-no window; rows with one doc_id and one text are one document; a passage that repeats
-inside one document counts; an empty table gives no rows; other columns are ignored.
+no window; rows with one doc_id and one text are one document, and several texts of one doc_id
+are several, in the order of their hashes; a passage that repeats inside one document counts;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.textops import Words, flat, slices, stored
-from loomspark.llm.windows import ANCHOR_SCHEMA, JUDGED_SCHEMA, SPAN_SCHEMA, WINDOW, anchors, contexts, judge_anchors, merged, repeat_sql, repeats_in
+from loomspark.llm.textops import Words, flat, ranges, slices, stored
+from loomspark.llm.windows import ANCHOR_SCHEMA, JUDGED_SCHEMA, SPAN_SCHEMA, WINDOW, anchors, contexts, judge_anchors, merged, repeat_sql, repeats_in, tag_of
 
 SHALLOW = 48
 
@@ -140,8 +141,6 @@ def sorted_windows(window: int = WINDOW):
         raw = np.frombuffer(b"".join(texts), np.uint8)
         offs = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
         words = Words(raw, offs)
-        from loomspark.llm.textops import ranges
-
         at = ranges(words.first[:-1], counts)
         order, same = deep_shallow(raw, words.starts[at], words.ends[at + window - 1])
         out = np.zeros(len(at), np.int64)
@@ -152,21 +151,22 @@ def sorted_windows(window: int = WINDOW):
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, start_word, end_word): what copies take up, all but each passage's first place."""
+    """(doc_id, tag, start_word, end_word): what copies take up, all but each passage's first
+    place. ``tag`` tells texts of one doc_id apart."""
     found = stored(anchors(docs, window).repartition("h").mapInArrow(judge_anchors, JUDGED_SCHEMA), "suffix-anchors")
-    whole = found.where("dup").select("doc_id", F.col("lo").alias("start"), (F.col("hi") + window).alias("end"))
-    mixed = found.where("mixed").select("h", "doc_id", "lo", "hi")
+    whole = found.where("dup").select("doc_id", "tag", F.col("lo").alias("start"), (F.col("hi") + window).alias("end"))
+    mixed = found.where("mixed").select("h", "doc_id", "tag", "lo", "hi")
     part = contexts(docs, mixed, window).repartition("h").mapInArrow(repeats_in(sorted_windows(window), window), SPAN_SCHEMA)
     return merged(whole.unionByName(part))
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` without the words of ``spans`` (doc_id, start_word, end_word); a document of
+    """``docs`` without the words of ``spans`` (doc_id, tag, start_word, end_word); a document of
     which nothing is left goes. Rows with a null doc_id or text stay as they are."""
     mark = "cuts_"
     while mark in docs.columns:  # the documents' own columns may have any name
         mark += "_"
-    lists = spans.groupBy(F.col("doc_id").alias("key_")).agg(F.collect_list(F.struct("start_word", "end_word")).alias(mark))
+    lists = spans.groupBy(F.col("doc_id").alias("key_"), F.col("tag").alias("tag_")).agg(F.collect_list(F.struct("start_word", "end_word")).alias(mark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -184,7 +184,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if k == "text" else part.column(k) for k in part.schema.names]
             yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    both = docs.join(lists, docs["doc_id"].cast("long") == lists["key_"], "left").select(*[docs[c] for c in docs.columns], lists[mark])
+    both = docs.join(lists, (docs["doc_id"].cast("long") == lists["key_"]) & (tag_of(docs["text"].cast("string")) == lists["tag_"]), "left").select(*[docs[c] for c in docs.columns], lists[mark])
     schema = both.schema
     out = both.mapInArrow(run, schema)
     out = out.where(F.col(mark).isNull() | F.col("text").isNull() | (F.trim(F.regexp_replace("text", r"\s", "")) != ""))
@@ -194,7 +194,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("tag")
 
 
 QUERIES = {"op7_suffix_dedup": op7_suffix_dedup}
