@@ -10,10 +10,12 @@ Pivot tables: the Hamming distances from each fingerprint to ``PIVOTS`` referenc
 fingerprints. By the triangle inequality a pair whose coordinates differ by more than MOST
 anywhere is no near copy; such pairs go before any fingerprint is compared, and what
 survives is verified bit by bit. The table alone would need all pairs, so bands of
-fingerprint bits first choose the pairs: each of ``BANDS`` samples of bits routes a row to a
-worker, which compares what agrees in one of the band's sub-bands of further bits as well.
-Sub-bands are wider as the corpus grows, and so many that at every size a pair at distance
-MOST is compared with probability ``RECALL``; their number costs computing, no shuffle.
+fingerprint bits first choose the pairs: each of ``BANDS`` samples of bits or more routes a row
+to a bucket, in which rows are compared that agree in one of the band's sub-bands of further
+bits as well. A bucket has about ``BUCKET`` rows at most: bands get wider, and more, with the
+corpus. So do sub-bands, and at every size they are so many that a pair at distance MOST is
+compared with probability ``RECALL``; sub-bands cost computing, no shuffle. A worker holds a
+bucket at a time.
 
 Equal fingerprints count once and join their group directly, so thousands of copies make
 no pairs. Defined cases: a null doc_id is never grouped; a null text neither; a text without
@@ -34,7 +36,8 @@ from pyspark.sql import functions as F
 from loomspark.llm.textops import Words, flat, mix, ranges, release, slices, stored
 
 BITS, MOST, MOST_PAIRS, PIVOTS, BANDS, LIGHT = 128, 28, 36, 32, 48, 3
-ROUTE, RECALL = 8, 0.95
+ROUTE, BUCKET, RECALL = 8, 1 << 20, 0.95
+HOLD = 1 << 17  # rows of small buckets that are worked through together
 WORDS64 = 4  # two for words, two for pairs of words
 _FP = [f"f{k}" for k in range(WORDS64)]
 _SEEDS = mix(np.arange(1, WORDS64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -101,16 +104,16 @@ def sharing(width: int, distance: int, bits: int = BITS) -> float:
     return math.prod(max(0, bits - distance - i) / (bits - i) for i in range(width))
 
 
-def band_plan(count: int, bands: int = BANDS, most: int = MOST) -> tuple[int, int, int]:
-    """(bits that route a row, further bits of a sub-band, sub-bands of each band) with which a
-    pair at distance ``most`` is compared with probability ``RECALL`` at least. The width of
-    both together grows with the corpus, and the number of sub-bands with the width."""
+def band_plan(count: int, bands: int = BANDS, most: int = MOST) -> tuple[int, int, int, int]:
+    """(bands, bits that route a row, further bits of a sub-band, sub-bands of each band) with
+    which a pair at distance ``most`` is compared with probability ``RECALL`` at least."""
     width = max(10, math.ceil(math.log2(count + 1)) - 2)
+    route = min(max(ROUTE, math.ceil(math.log2(max(1, count) / BUCKET))), BITS - most - 1)
+    share = sharing(route, most)
+    bands = max(bands, math.ceil(math.log(1 - RECALL) / math.log1p(-0.6 * share)))
     each = 1 - (1 - RECALL) ** (1 / bands)
-    route = next((w for w in range(ROUTE, 0, -1) if each <= 0.6 * sharing(w, most)), 0)
-    fine = min(width, BITS - most) - route
-    missed = 1 - min(each / sharing(route, most), 0.999)
-    return route, fine, math.ceil(math.log(missed) / math.log1p(-sharing(fine, most, BITS - route)))
+    fine = max(1, min(width, BITS - most) - route)
+    return bands, route, fine, math.ceil(math.log(1 - each / share) / math.log1p(-sharing(fine, most, BITS - route)))
 
 
 def dealt_bits(rng: np.random.Generator, rows: int, width: int, banned: list[int]) -> list[list[int]]:
@@ -136,7 +139,7 @@ def masks_of(samples: list[list[int]]) -> np.ndarray:
     return out
 
 
-def band_masks(route: int, fine: int, subs: int, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
+def band_masks(bands: int, route: int, fine: int, subs: int) -> tuple[np.ndarray, np.ndarray]:
     """Masks of the bands, (bands, 2), and of their sub-bands, (bands, subs, 2)."""
     rng = np.random.default_rng(7)
     coarse = dealt_bits(rng, bands, route, [])
@@ -196,8 +199,8 @@ def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
 def near_edges(prints: DataFrame, most: int = MOST, most_pairs: int = MOST_PAIRS, bands: int = BANDS) -> DataFrame:
     """(src, dst) edges, dst < src, that connect all near fingerprints found. ``prints`` has
     each distinct fingerprint once, with the smallest doc_id that has it as ``doc_id``."""
-    route, fine, subs = band_plan(prints.count(), bands, most)
-    coarse, masks = band_masks(route, fine, subs, bands)
+    bands, route, fine, subs = band_plan(prints.count(), bands, most)
+    coarse, masks = band_masks(bands, route, fine, subs)
     pivots = pivot_prints(prints)
 
     def bands_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,10 +215,7 @@ def near_edges(prints: DataFrame, most: int = MOST, most_pairs: int = MOST_PAIRS
                 band = np.tile(np.arange(bands, dtype=np.int32), len(fp))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(band), pa.array(doc), *[pa.array(flat_fp[:, k]) for k in range(WORDS64)]], names=names)
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
+    def edges(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         held = pa.Table.from_batches(parts)
         fp = np.stack([held[f].to_numpy() for f in _FP], axis=1).view(np.uint64)
         routed, band = held["key"].to_numpy().view(np.uint64), held["band"].to_numpy()
@@ -237,13 +237,31 @@ def near_edges(prints: DataFrame, most: int = MOST, most_pairs: int = MOST_PAIRS
             root[node] = low
             root = root[root]
         keep = np.flatnonzero(root != np.arange(len(ids)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[root[keep]])], names=["src", "dst"])
-        del parts, held, fp, routed, band, ids, who, table, root, key, by, heads, of, open_, use, order, a, b, node, low
-        release()
+        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[root[keep]])], names=["src", "dst"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, rows, last = [], 0, None
+        for batch in batches:  # sorted by key: worked through at the end of a bucket, when enough is held
+            keys = batch.column("key").to_numpy()
+            at = 0
+            if rows >= HOLD and len(keys):
+                at = int(np.searchsorted(keys, last, "right"))
+                if at < len(keys):
+                    yield edges([*parts, batch.slice(0, at)])
+                    parts, rows = [], 0
+                    release()
+                else:
+                    at = 0
+            parts.append(batch.slice(at))
+            rows += len(keys) - at
+            last = keys[-1] if len(keys) else last
+        if rows:
+            yield edges(parts)
+            release()
 
     long4 = ", ".join(f"{f} long" for f in _FP)
     rows = prints.select("doc_id", *_FP).mapInArrow(bands_out, f"key long, band int, doc_id long, {long4}")
-    return rows.repartition("key").mapInArrow(join, "src long, dst long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(join, "src long, dst long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
