@@ -8,9 +8,12 @@ projection, dk the k-th best distance so far. A true neighbour is missed with a
 of 1 - STOP at most.
 
 The top of the tree cuts space into cells of about ``CELL`` vectors; its split points come
-from a bounded sample, only the balance of the cells depends on it. Every vector first
-searches its own cell; dk then says which other cells' boxes it still has to visit, and only
-those get it. Each cell's visits stream past its points. Where vectors have no structure
+from a sample, only the balance of the cells depends on it: about ``SAMPLE`` vectors give the
+first ``TOP`` levels, and beyond those each part of space splits itself by ``SPLIT`` vectors a
+cell. Every vector first searches its own cell; dk then says which other cells' boxes it still
+has to visit, found by going down the tree of boxes, and only those get it. A cell's visits
+stream past its points, in several tasks where they are more than ``VISITS``. What the driver
+and each worker hold of the cells is 20 numbers a cell. Where vectors have no structure
 (uniform on a sphere of 64 dimensions) the test can't stop early and most cells are visited;
 that is the method's cost, not a limit on it.
 
@@ -31,9 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.textops import stored
+from loomspark.llm.textops import sized_join, stored
 
 NEIGHBOURS, DIMS, STOP, CELL, LEAF, SAMPLE, SEED = 10, 8, 0.95, 8192, 256, 50_000, 5
+TOP, SPLIT, VISITS, PAIRS = 10, 32, 16_384, 1 << 20
 
 
 def chi2_quantile(p: float, dims: int = DIMS) -> float:
@@ -74,6 +78,50 @@ class Splits:
             node = node * 2 + (z[np.arange(len(z)), axis[spot]] > at[spot])
         return node
 
+    def deepened(self, parts: dict[int, tuple[list[int], list[float]]], more: int) -> Splits:
+        """``more`` levels below, from the axes and points of each cell's own tree."""
+        axis, at = np.zeros((1 << self.depth, (1 << more) - 1), np.int64), np.zeros((1 << self.depth, (1 << more) - 1))
+        for cell, (a, x) in parts.items():
+            axis[cell], at[cell] = a, x
+        out = Splits(np.zeros((0, 1)), 0)
+        out.depth, out.axis, out.at = self.depth + more, [*self.axis], [*self.at]
+        for k in range(more):
+            level = slice((1 << k) - 1, (1 << (k + 1)) - 1)
+            out.axis += axis[:, level].ravel().tolist()
+            out.at += at[:, level].ravel().tolist()
+        return out
+
+
+class Boxes:
+    """Bounding boxes of the cells of a tree of splits, and of every node above them."""
+
+    def __init__(self, depth: int, cells: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.depth = depth
+        lows, highs = np.full((1 << depth, low.shape[1]), np.inf), np.full((1 << depth, low.shape[1]), -np.inf)
+        lows[cells], highs[cells] = low, high
+        self.levels = [(lows, highs)]
+        while len(lows) > 1:
+            lows, highs = np.minimum(lows[::2], lows[1::2]), np.maximum(highs[::2], highs[1::2])
+            self.levels.insert(0, (lows, highs))
+
+    def within(self, z: np.ndarray, most: np.ndarray, pairs: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, cells) of all boxes nearer than a row's ``most``, some pairs at a time."""
+        todo = [(0, np.arange(len(z)), np.zeros(len(z), np.int64))]
+        while todo:
+            level, row, node = todo.pop()
+            low, high = self.levels[level]
+            gap = np.maximum(np.maximum(low[node] - z[row], z[row] - high[node]), 0)
+            near = (gap * gap).sum(axis=1) < most[row]
+            row, node = row[near], node[near]
+            if level == self.depth:
+                if len(row):
+                    yield row, node
+                continue
+            row, node = np.repeat(row, 2), np.repeat(node * 2, 2)
+            node[1::2] += 1
+            for at in range(0, len(row), pairs):
+                todo.append((level + 1, row[at : at + pairs], node[at : at + pairs]))
+
 
 def box_distances(z: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Squared projected distance from each point to each box."""
@@ -143,7 +191,26 @@ def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(pa.array(values.ravel(), kind), values.shape[1]).cast(pa.list_(kind))
 
 
-def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, stop: float = STOP, cell: int = CELL) -> DataFrame:
+def lower_splits(rows: DataFrame, splits: Splits, more: int, width: int, share: float) -> dict[int, tuple[list[int], list[float]]]:
+    """Each top cell's own ``more`` levels, from its share of the vectors; two numbers a cell reach the driver."""
+    w = directions(width)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            z = _matrix(b.column("embedding"), width) @ w
+            yield pa.RecordBatch.from_arrays([pa.array(splits.cell(z)), _lists(z, pa.float64())], names=["cell", "z"])
+
+    def split(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        z = _matrix(table["z"].combine_chunks(), DIMS)
+        own = Splits(z[np.lexsort(z.T)], more)
+        return pa.table({"cell": [key[0].as_py()], "axis": pa.array([own.axis], pa.list_(pa.int64())), "at": pa.array([own.at], pa.list_(pa.float64()))})
+
+    chosen = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 30)) < max(1, int(share * (1 << 30))))
+    found = chosen.select("embedding").mapInArrow(place, "cell long, z array<double>").groupBy("cell").applyInArrow(split, "cell long, axis array<long>, at array<double>")
+    return {r.cell: (r.axis, r["at"]) for r in found.collect()}
+
+
+def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, stop: float = STOP, cell: int = CELL, top: int = TOP) -> DataFrame:
     """(vec_id, rank, neighbour_id, distance) with every vector as a query."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where("vec_id is not null and size(embedding) > 0")
@@ -158,7 +225,10 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, stop: float = STOP, cell
     share = min(1.0, SAMPLE / total)
     chosen = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("embedding").toPandas()  # bounded: about SAMPLE rows
     sample = np.array(chosen["embedding"].tolist(), np.float64).reshape(-1, width) @ w
-    splits = Splits(sample[np.lexsort(sample.T)], max(0, math.ceil(math.log2(max(1, total / cell)))))
+    depth = max(0, math.ceil(math.log2(max(1, total / cell))))
+    splits = Splits(sample[np.lexsort(sample.T)], min(depth, top))
+    if depth > top:
+        splits = splits.deepened(lower_splits(rows, splits, depth - top, width, min(1.0, SPLIT / cell)), depth - top)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,7 +238,7 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, stop: float = STOP, cell
     placed = stored(rows.mapInArrow(place, "cell long, vec_id long, embedding array<float>, " + ", ".join(f"z{d} double" for d in range(DIMS))), "placed")
     boxes = placed.groupBy("cell").agg(*[f(f"z{d}") for f in (F.min, F.max) for d in range(DIMS)]).orderBy("cell").collect()  # one row a cell
     cells, bounds = np.array([b[0] for b in boxes]), np.array([list(b[1:]) for b in boxes])
-    low, high = bounds[:, :DIMS], bounds[:, DIMS:]
+    tree = spark.sparkContext.broadcast(Boxes(depth, cells, bounds[:, :DIMS], bounds[:, DIMS:]))
     points = placed.select("cell", "vec_id", "embedding")
     own_schema = "vec_id long, home long, embedding array<float>, dists array<double>, ids array<long>"
 
@@ -190,20 +260,25 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, stop: float = STOP, cell
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 b = whole.slice(at, 2048)
-                x, dk = _matrix(b.column("embedding"), width), _matrix(b.column("dists"), k)[:, -1]
-                go = box_distances(x @ w, low, high) < quantile * dk[:, None]
-                go[cells[None] == b.column("home").to_numpy()[:, None]] = False
-                row, col = np.nonzero(go)
-                yield pa.RecordBatch.from_arrays([pa.array(cells[col]), pa.array(np.ones(len(row), np.int8)), pa.array(b.column("vec_id").to_numpy()[row]), b.column("embedding").take(pa.array(row)), pa.array(dk[row])], names=["cell", "asks", "vec_id", "embedding", "bound"])
-
-    visits = home.mapInArrow(route, "cell long, asks byte, vec_id long, embedding array<float>, bound double")
-    stream = points.select("cell", F.lit(0).cast("byte").alias("asks"), "vec_id", "embedding", F.lit(0.0).alias("bound")).unionByName(visits)
-    stream = stream.repartition("cell").sortWithinPartitions("cell", "asks")
+                x, dk, own = _matrix(b.column("embedding"), width), _matrix(b.column("dists"), k)[:, -1], b.column("home").to_numpy()
+                for row, col in tree.value.within(x @ w, quantile * dk):
+                    away = col != own[row]
+                    row, col = row[away], col[away]
+                    for start in range(0, len(row), 1 << 14):
+                        r, c = row[start : start + (1 << 14)], col[start : start + (1 << 14)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(np.ones(len(r), np.int8)), pa.array(b.column("vec_id").to_numpy()[r]), b.column("embedding").take(pa.array(r)), pa.array(dk[r])], names=["cell", "asks", "vec_id", "embedding", "bound"])
+
+    visits = stored(home.mapInArrow(route, "cell long, asks byte, vec_id long, embedding array<float>, bound double"), "visits")
+    # a cell that many ask is searched by several tasks, each with all of its points
+    tasks = visits.groupBy("cell").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("tasks"))
+    asked = sized_join(visits, tasks, "cell").withColumn("task", F.pmod(F.xxhash64("vec_id"), F.col("tasks")).cast("int"))
+    there = sized_join(points, tasks, "cell").select("cell", F.lit(0).cast("byte").alias("asks"), "vec_id", "embedding", F.lit(0.0).alias("bound"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+    stream = there.unionByName(asked.drop("tasks")).repartition("cell", "task").sortWithinPartitions("cell", "task", "asks")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tree, ids, xs = None, None, [], []
         for whole in batches:
-            keys, asks = whole.column("cell").to_numpy(), whole.column("asks").to_numpy()
+            keys, asks = whole.column("cell").to_numpy() * (1 << 20) + whole.column("task").to_numpy(), whole.column("asks").to_numpy()
             cuts = np.flatnonzero(np.concatenate(([True], (np.diff(keys) != 0) | (np.diff(asks) != 0), [True])))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if keys[a] != now:
