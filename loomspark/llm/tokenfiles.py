@@ -1,15 +1,18 @@
 """Operator 5, token-id files: flat unsigned integers plus 64-bit document offsets.
 
-Each partition writes ``part-NNNNN.bin`` (its documents' ids one after the other, little
-endian, two bytes where the vocabulary fits, else four) and ``part-NNNNN.idx`` (64-bit
+Each partition writes ``part-NNNNN-U.bin`` (its documents' ids one after the other, little
+endian, two bytes where the vocabulary fits, else four) and ``part-NNNNN-U.idx`` (64-bit
 offsets into the part, one more than it has documents). Prefix sums over the partitions'
 counts give every part its base: document offsets in the whole corpus are base plus offset.
-``meta.json`` holds type, parts, counts and bases; ``TokenFiles`` maps the files into memory.
+``meta.json`` holds type, parts, their files, counts and bases; ``TokenFiles`` maps the files
+into memory.
 
-A file is written under another name and then renamed, and a part's content depends on its
-partition alone, so a lost or repeated task leaves the same files. The folder lies in
-``spark.checkpoint.dir`` and may be local, NFS or anything pyarrow.fs opens by URI; where
-files can't be mapped they are read.
+Every attempt of a task writes files of its own name U. The rows of the attempt that Spark
+commits name them, and ``meta.json``, written last and by a rename, lists those and no others;
+files of lost attempts, or of earlier runs into the same folder, are never read. Until a new
+run is complete, ``meta.json`` is the earlier run's. The folder lies in
+``spark.checkpoint.dir``, is resolved as Spark resolves it, and may be local, NFS or anything
+pyarrow.fs opens by URI; where files can't be mapped they are read.
 
 Defined cases: null and empty texts have no ids and equal offsets; a null doc_id stays null
 in the result; repeated rows are written each; an empty table gives no parts and no rows;
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.textops import flat, shared_dir, slices, span_hash, prefix
+from loomspark.llm.textops import prefix, qualified, shared_dir, slices, span_hash
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -52,22 +56,19 @@ def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def _write(folder: str, name: str, data: memoryview | bytes) -> None:
+    """A whole file, there at once or not at all."""
     system, path = open_folder(folder)
-    context = TaskContext.get()
     system.create_dir(path, recursive=True)
-    hidden = f"{path}/.{name}.{context.taskAttemptId() if context else 0}"
+    hidden = f"{path}/.{name}.{uuid.uuid4().hex}"
     with system.open_output_stream(hidden) as out:
         out.write(data)
-    if name.startswith("part-") and system.get_file_info(f"{path}/{name}").type != fs.FileType.NotFound:
-        system.delete_file(hidden)  # an earlier attempt wrote the same content
-    else:
-        system.move(hidden, f"{path}/{name}")
+    system.move(hidden, f"{path}/{name}")
 
 
 def write_tokens(docs: DataFrame, folder: str, ranks: str = RANKS) -> DataFrame:
-    """Write the parts; (part, doc, doc_id, start, end), offsets within the part."""
+    """Write the parts; (part, file, doc, doc_id, start, end), offsets within the part."""
     size = np.dtype("<u2") if encoder(ranks).n_vocab <= 1 << 16 else np.dtype("<u4")
-    schema = pa.schema([("part", pa.int32()), ("doc", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+    schema = pa.schema([("part", pa.int32()), ("file", pa.string()), ("doc", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, counts, ids = TaskContext.get().partitionId(), [], [np.zeros(1, np.int64)], []
@@ -79,14 +80,14 @@ def write_tokens(docs: DataFrame, folder: str, ranks: str = RANKS) -> DataFrame:
             ids.append(batch.column("doc_id"))
         if not ids:
             return
-        offsets = np.cumsum(np.concatenate(counts))
-        _write(folder, f"part-{part:05d}.bin", np.concatenate(held).tobytes())
-        _write(folder, f"part-{part:05d}.idx", offsets.astype("<i8").tobytes())
+        offsets, file = np.cumsum(np.concatenate(counts)), f"part-{part:05d}-{uuid.uuid4().hex}"
+        _write(folder, f"{file}.bin", np.concatenate(held).tobytes())
+        _write(folder, f"{file}.idx", offsets.astype("<i8").tobytes())
         n = len(offsets) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(n)), pa.concat_arrays(ids), pa.array(offsets[:-1]), pa.array(offsets[1:])], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.DictionaryArray.from_arrays(np.zeros(n, np.int32), [file]).cast(pa.string()), pa.array(np.arange(n)), pa.concat_arrays(ids), pa.array(offsets[:-1]), pa.array(offsets[1:])], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "part int, doc long, doc_id long, start long, end long")
+    return rows.mapInArrow(run, "part int, file string, doc long, doc_id long, start long, end long")
 
 
 @dataclass
@@ -112,7 +113,8 @@ class TokenFiles:
 
     def part(self, part: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and offsets of a part."""
-        return self._map(f"part-{part:05d}.bin", self.meta["dtype"]), self._map(f"part-{part:05d}.idx", "<i8")
+        file = self.parts[part]["file"]
+        return self._map(f"{file}.bin", self.meta["dtype"]), self._map(f"{file}.idx", "<i8")
 
     def document(self, part: int, doc: int) -> np.ndarray:
         ids, offsets = self.part(part)
@@ -123,12 +125,12 @@ def token_files(docs: DataFrame, folder: str | None = None, ranks: str = RANKS)
     """Write the files; a row (doc_id, part, doc, start_token, end_token, n_tokens, token_hash) for each
     document, offsets in the whole corpus and the hash taken from the mapped file, and the folder."""
     spark = docs.sparkSession
-    folder = folder or shared_dir(spark, "tokens")
-    listing = f"{folder}/documents"
+    folder = qualified(spark, folder) if folder else shared_dir(spark, "tokens")
+    listing = f"{folder}/documents-{uuid.uuid4().hex}"
     write_tokens(docs, f"{folder}/files", ranks).write.parquet(listing)
     rows = spark.read.parquet(listing)
     # one row a part reaches the driver: its documents and ids
-    parts = [r.asDict() for r in rows.groupBy("part").agg(F.count("*").alias("docs"), F.max("end").alias("ids")).orderBy("part").collect()]
+    parts = [r.asDict() for r in rows.groupBy("part").agg(F.max("file").alias("file"), F.count("*").alias("docs"), F.max("end").alias("ids")).orderBy("part").collect()]
     bases = np.concatenate(([0], np.cumsum([p["ids"] for p in parts], dtype=np.int64)))
     for p, base in zip(parts, bases.tolist(), strict=False):
         p["base"] = base
