@@ -1,7 +1,8 @@
 """Operator 8, SentencePiece encoding and decoding by batched numpy Viterbi.
 
 Texts are cut before each run of blanks, where no piece can reach across; equal words are
-encoded once. Words of equal length advance together, a character at a time:
+encoded once: words of up to ``SHORT`` bytes are told apart by a 64-bit hash, longer ones, for
+which colliding texts are easy to write, by a cryptographic one. Words of equal length advance together, a character at a time:
 hashes of all substrings probe the sorted piece keys, and for every end position a vectorised
 maximum over the pieces that end there stores the backpointer.
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,7 @@ from loomspark.llm.textops import flat, prefix, ranges, slices, span_hash
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 NONE = np.int64(1) << np.int64(40)
+SHORT = 64
 
 
 class WordCache:
@@ -313,7 +316,12 @@ def encode(p: Pieces, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         start[1:] |= raw[:-1] == 10
     begin = np.flatnonzero(start)
     end = np.concatenate((begin[1:], [len(raw)]))
-    hashes, where, which = np.unique(span_hash(prefix(raw), begin, end), return_index=True, return_inverse=True)
+    keys, long = span_hash(prefix(raw), begin, end), np.flatnonzero(end - begin > SHORT)
+    if len(long):
+        whole = raw.tobytes()
+        digests = [blake2b(whole[a:b], digest_size=8).digest() for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True)]
+        keys[long] = np.frombuffer(b"".join(digests), np.uint64)
+    hashes, where, which = np.unique(keys, return_index=True, return_inverse=True)
     cache = p.cache
     new = lookup(cache.keys, np.ones(len(cache.keys), np.int64), hashes, 0) == 0
     where = where[new]

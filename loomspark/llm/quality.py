@@ -4,7 +4,9 @@ A document becomes ``STATS`` numbers (shares of kinds of characters and words, r
 lengths, hits in a learned list of words of toxic documents). ``FEATURES`` random cosines of
 the standardised numbers approximate a Gaussian kernel; ridge scores come from normal
 equations that each partition sums for itself; isotonic regression on held-out rows turns
-scores into probabilities of being good, that is of quality 1 and not toxic.
+scores into probabilities of being good, that is of quality 1 and not toxic. Statistics are
+shares or logarithms, so none saturates on long texts; standardised ones are clipped at eight
+deviations, beyond which the kernel is flat.
 
 Training uses at most about ``TRAIN_ROWS`` labelled documents, those of smallest id hash, of
 which every fifth is held out; that bound is a parameter, and it bounds the word list, the
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.decontaminate import normalised
-from loomspark.llm.textops import Words, flat, slices
+from loomspark.llm.textops import Words, flat, slices, stored
 
 TRAIN_ROWS, FEATURES, RIDGE, SEED, CUT = 20_000, 256, 1e-3, 11, 0.5
 STATS = ("log_words", "mean_word", "upper", "digit", "punct", "symbol", "line", "short", "long", "repeat", "repeat2", "capital_words", "symbol_words", "wide", "toxic_rate", "toxic_hits", "distinct", "max_word")
@@ -64,19 +66,17 @@ def statistics(raw: np.ndarray, offs: np.ndarray, toxic_words: np.ndarray) -> np
         hits = _sum(toxic_words[at] == found, clean.first)
     else:
         hits = np.zeros(len(offs) - 1)
-    # distinct words, estimated from a 512-slot table per document at most
+    # distinct words: logarithm of their number over that of all, which long texts don't saturate
     slots = np.zeros(len(offs) - 1)
     if len(doc):
-        cells = doc * 512 + (hashes % np.uint64(512)).astype(np.int64)
-        seen = np.zeros((len(offs) - 1) * 512, bool)
-        seen[cells] = True
-        filled = seen.reshape(-1, 512).sum(axis=1)
-        slots = np.minimum(-512 * np.log1p(-np.minimum(filled, 511) / 512), count) / np.minimum(count, 1500)
+        keys = np.sort((doc.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24)))
+        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        slots = np.log1p(np.bincount((keys[new] >> np.uint64(40)).astype(np.int64), minlength=len(offs) - 1)) / np.log1p(count)
     longest = np.zeros(len(offs) - 1)
     has = words.counts > 0
     if has.any():
         longest[has] = np.maximum.reduceat(length, words.first[:-1][has])
-    out = np.stack([np.log1p(words.counts), np.minimum(per_word(length), 40), *per_byte[:5], per_word(length <= 3), per_word(length >= 15), per_word(same(1)), per_word(same(2)), per_word(capital), per_word(odd), per_byte[5], hits / count, np.log1p(hits), np.minimum(slots, 1.5), np.log1p(longest)], axis=1)
+    out = np.stack([np.log1p(words.counts), np.log1p(per_word(length)), *per_byte[:5], per_word(length <= 3), per_word(length >= 15), per_word(same(1)), per_word(same(2)), per_word(capital), per_word(odd), per_byte[5], hits / count, np.log1p(hits), slots, np.log1p(longest)], axis=1)
     out[~has] = 0
     return out
 
@@ -140,9 +140,10 @@ def sampled(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     return _typed(docs).where("text is not null").join(F.broadcast(chosen), "doc_id")
 
 
-def toxic_list(sample: DataFrame, least_z: float = 6.0, most: int = 2000) -> np.ndarray:
+def toxic_list(sample: DataFrame, least_z: float = 6.0) -> np.ndarray:
     """Hashes of the words that stand out in toxic training documents: how many of the documents
-    with the word are toxic lies ``least_z`` deviations above what the overall rate explains."""
+    with the word are toxic lies ``least_z`` deviations above what the overall rate explains.
+    All that stand out are in it; the sample's bound bounds their number."""
     schema = pa.schema([("word", pa.int64()), ("toxic", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,15 +162,13 @@ def toxic_list(sample: DataFrame, least_z: float = 6.0, most: int = 2000) -> np.
         return np.zeros(0, np.uint64)
     words = train.select("text", "toxic_").mapInArrow(run, "word long, toxic long").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     z = (F.col("t") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    rows = words.where((F.col("t") >= 4) & (z >= least_z)).orderBy(z.desc(), "word").limit(most).collect()
+    rows = words.where((F.col("t") >= 4) & (z >= least_z)).select("word").collect()
     return np.sort(np.array([r.word for r in rows], np.int64).view(np.uint64))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, ridge: float = RIDGE) -> Model:
     d = len(STATS)
     flat_model = lambda p: Model(np.zeros(0, np.uint64), np.zeros(d), np.ones(d), None, np.array([0.0, 1.0]), np.array([p, p]))
-    from loomspark.llm.textops import stored
-
     sample = stored(sampled(docs, labels, train_rows), "train")
     seen = sample.agg(F.count("*"), F.avg(F.col("good_").cast("double"))).first()
     if not seen[0] or seen[1] in (0.0, 1.0):
