@@ -64,11 +64,14 @@ def test_normal_equations_equal_a_direct_solve(spark):
 
 
 # neighbours ------------------------------------------------------------------------------
-def test_recall_over_several_cells(spark):
+@pytest.mark.parametrize("top", [neighbours.TOP, 1])
+def test_recall_over_several_cells(spark, monkeypatch, top):
+    monkeypatch.setattr(neighbours, "VISITS", 64)
+    monkeypatch.setattr(neighbours, "PAIRS", 128)
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(300, 24)), rng.normal(size=(20, 24)).repeat(15, axis=0) + rng.normal(size=(300, 24)) * 0.05]).astype(np.float32)
     df = spark.createDataFrame(pd.DataFrame({"vec_id": range(600), "embedding": x.tolist(), "cell": 1}), "vec_id long, embedding array<float>, cell int")
-    got = neighbours.neighbours(df, k=5, cell=100).toPandas()
+    got = neighbours.neighbours(df, k=5, cell=100, top=top).toPandas()
     d = np.sqrt(((x[:, None].astype(float) - x[None]) ** 2).sum(-1))
     np.fill_diagonal(d, np.inf)
     want = {i: set(np.argsort(d[i], kind="stable")[:5].tolist()) for i in range(600)}
@@ -77,6 +80,28 @@ def test_recall_over_several_cells(spark):
     assert np.allclose(got.distance, [d[a, b] for a, b in zip(got.vec_id, got.neighbour_id)], atol=1e-5)
 
 
+def test_boxes_within_reach():
+    rng = np.random.default_rng(4)
+    points, z = rng.normal(size=(500, 3)), rng.normal(size=(40, 3))
+    splits = neighbours.Splits(points, 4)
+    at = splits.cell(points)
+    cells = np.unique(at)[:-1]  # a cell may be empty
+    low, high = (np.stack([f(points[at == c], axis=0) for c in cells]) for f in (np.min, np.max))
+    most = rng.uniform(0, 2, 40)
+    got = {(int(r), int(c)) for rows, found in neighbours.Boxes(4, cells, low, high).within(z, most, pairs=7) for r, c in zip(rows, found)}
+    far = neighbours.box_distances(z, low, high)
+    assert got == {(r, int(cells[c])) for r in range(40) for c in range(len(cells)) if far[r, c] < most[r]}
+
+
+def test_many_equal_and_long_vectors(spark):
+    """More copies of one vector than a cell holds, and vectors of 3,000 numbers."""
+    rows = [(i, [1.0] * 3000) for i in range(90)] + [(100 + i, [float(i + 2)] * 3000) for i in range(5)]
+    got = neighbours.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3, cell=20).toPandas()
+    assert len(got) == 95 * 3
+    assert got[got.vec_id == 50].neighbour_id.tolist() == [0, 1, 2] and (got[got.vec_id < 90].distance == 0).all()
+    assert got[got.vec_id == 104].neighbour_id.tolist() == [103, 102, 101]
+
+
 def test_odd_vectors(spark):
     rows = [(1, [0.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 1.0]), (3, [0.0, 1.0]), (4, None), (5, []), (6, [float("nan"), 1.0]), (7, [1.0]), (None, [0.0, 0.0]), (8, [None, 1.0]), (9, [float("inf"), 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -107,6 +132,18 @@ def test_round_trip_and_offsets(spark):
     assert empty.count() == 0
 
 
+def test_a_second_run_never_reads_the_first_ones_files(spark, tmp_path):
+    """The first run dies before its listing; the second writes other documents into the folder."""
+    folder = str(tmp_path / "tokens")
+    one = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta")], "doc_id long, text string").repartition(1)
+    tokenfiles.write_tokens(one, f"file://{folder}/files").write.format("noop").mode("overwrite").save()
+    for rows in ([(7, "one")], [(8, "two three"), (9, None)]):
+        two, where = tokenfiles.token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(1), folder)
+        files = tokenfiles.TokenFiles(f"{where}/files")
+        got = {r.doc_id: tokenfiles.encoder().decode(files.document(r["part"], r["doc"]).tolist()) for r in two.collect()}
+        assert got == {i: t or "" for i, t in rows} and files.meta["docs"] == len(rows)
+
+
 # chat ------------------------------------------------------------------------------------
 @settings(max_examples=80, deadline=None)
 @given(st.text(max_size=20) | st.sampled_from(["<|start|>", "a<\\|end|>b", "<\\\\|bos|><|x|>", "<|head|><|head|>"]))

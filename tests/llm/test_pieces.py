@@ -32,6 +32,14 @@ def test_random_texts(texts):
     assert ids_of(texts) == [LIBRARY.encode(t) for t in texts]
 
 
+def test_colliding_words_have_their_own_ids():
+    """Thue-Morse words have equal polynomial hashes modulo 2**64, whatever the base."""
+    for n in (512, 1024, 2048):
+        one = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+        two = one.translate(str.maketrans("ab", "ba"))
+        assert ids_of([one, two, f"x {two} {one}"]) == [LIBRARY.encode(t) for t in (one, two, f"x {two} {one}")]
+
+
 def test_decoding_gives_the_text_again():
     texts = [t for t in ODD if "▁" not in t]
     ids, offs = m.encode(PIECES, pa.array(texts))
@@ -61,10 +69,10 @@ def test_unigram_pass_takes_the_best_sum():
 
 
 def test_table_of_odd_rows(spark):
-    rows = [(1, "the cat", 5), (1, "the cat", 5), (2, None, 6), (None, "a  b", 7), (3, "", 8)]
+    rows = [(1, "the cat", 5), (1, "the cat", 5), (2, None, 6), (None, "a  b", 7), (3, "", 8), (4, "x" * 20_000 + " long " * 9000, 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
     got = {(r.doc_id, r.n_tokens): r for r in m.encoded(df).collect()}
-    assert len(m.encoded(df).collect()) == 5
+    assert len(m.encoded(df).collect()) == 6
     assert got[(2, None)].ids is None and got[(3, 0)].ids == []
     assert all(r.exact for r in got.values() if r.ids is not None)
     assert m.encoded(df.limit(0)).count() == 0

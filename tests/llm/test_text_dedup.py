@@ -59,6 +59,17 @@ def test_suffix_dedup_is_exact(spark):
     assert not brute_repeats([(r.doc_id, r.text) for r in cleaned.collect()], 50) & {(i, 0) for i in (21, 22, 23)}
 
 
+def test_texts_of_one_doc_id_keep_their_own_words(spark):
+    rng = random.Random(6)
+    a, b = (" ".join(f"{k}{rng.randint(0, 900)}" for _ in range(80)) for k in "ab")
+    rows = [(1, a), (2, a), (2, b), (3, b + " " + a)]
+    docs = table(spark, rows)
+    for spans in (suffix_dedup.repeated_spans(docs), lsm_dedup.incremental_spans(docs, batches=2)):
+        left = sorted((r.doc_id, r.text) for r in suffix_dedup.remove_spans(docs, spans).collect())
+        assert left == [(1, a), (2, b)]
+    assert suffix_dedup.remove_spans(docs, suffix_dedup.repeated_spans(docs).limit(0)).count() == 4
+
+
 def test_lsm_dedup_is_exact_in_any_number_of_batches(spark):
     rows = corpus(2)
     df = table(spark, rows)
@@ -80,6 +91,35 @@ def test_lsm_index_reopens_and_refuses_late_documents(spark):
     assert again.ingest(df.limit(0), df).count() == 0
 
 
+def test_lsm_levels_and_crashes(spark, monkeypatch):
+    """Runs of one level are merged, older and larger ones stay; a crash leaves an index that opens."""
+    rows = [(i, t) for i, t in corpus(3) if i is not None and t and i < 40]
+    df, want = table(spark, rows), brute_repeats(rows, 50)
+    index, got = lsm_dedup.FingerprintIndex(spark, fanout=2), set()
+    history = spark.createDataFrame([*rows, (None, "no id"), (1, None)], "doc_id long, text string")
+    for k, (low, high) in enumerate([(0, 4), (4, 8), (8, 21), (21, 24), (24, 34)]):
+        batch = df.where(f"doc_id >= {low} and doc_id < {high}")
+        if k == 3:  # dies while runs are merged: the new run is written, the manifest isn't
+            drop, manifest, calls = index._drop, index._manifest, []
+
+            def dies():
+                calls.append(1)
+                if len(calls) > 1:
+                    raise OSError("lost")
+                manifest()
+
+            monkeypatch.setattr(index, "_manifest", dies)
+            with pytest.raises(OSError):
+                index.ingest(batch, history)
+            index = lsm_dedup.FingerprintIndex.open(spark, index.folder)
+            assert index.high == 23 and [v for _, v in index.runs] == [1, 0, 0]
+            got |= {x for x in want if 21 <= x[0] < 24}
+            continue
+        got |= covered(index.ingest(batch, history).collect())
+    assert [v for _, v in index.runs] == [2, 0] or [v for _, v in index.runs] == [1, 1, 0] or [v for _, v in index.runs] == [2]
+    assert got == {x for x in want if x[0] < 34}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", max_size=90), max_size=12), st.sampled_from([8, 16, 48]))
 def test_deep_shallow_order(strings, shallow):
@@ -140,6 +180,23 @@ def test_decontamination(spark):
     assert decontaminate.contaminated_spans(docs, bench.limit(0)).count() == 0
 
 
+def test_words_of_any_script_against_sql(spark, tmp_path):
+    """Capitals, curly quotes and dashes outside ASCII, by the operator and by its SQL."""
+    import duckdb
+
+    item = "«Привет, мир» — сказал “Иван”, и ушёл домой быстро; потом вернулся ночью опять один"
+    items = [(1, item), (2, "Ça va bien — très “bien” aujourd’hui, École d’été à Paris"), (3, "e\u0301te\u0301 ΑΒΓ αβγ ΣΑΣ one two three")]
+    rows = [(1, "x " + item.upper() + " y"), (2, item.replace(" — ", "—").replace("“", '"')), (3, "ça VA bien très bien aujourd hui école d été à paris"), (4, "E\u0301TE\u0301 αβγ αβγ one,two"), (5, "İstanbul ßẞ ﬁ １２ 𝔄"), (6, "nothing here"), (7, None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, decontaminate.contaminated_spans(docs, bench).collect()))
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("benchmark", bench.toPandas())
+    assert got == sorted(con.execute(decontaminate.contamination_sql()).fetchall()) and {1, 2, 3} <= {r[0] for r in got}
+    left = {r.doc_id: r.text for r in decontaminate.decontaminated(docs, bench).collect()}
+    assert left[1] == "x «y" and 3 not in left and left[5] == rows[4][1]
+
+
 def test_near_groups_against_all_pairs(spark):
     rng = random.Random(4)
     vocab = ["".join(rng.choices("abcdefghij", k=rng.randint(4, 9))) for _ in range(3000)]
@@ -187,10 +244,10 @@ def test_pivot_table_only_discards_what_is_far():
     assert set(zip(a.tolist(), b.tolist())) == want
 
 
-@pytest.mark.parametrize("count", [100, 10_000, 240_000, 14_000_000, 1_000_000_000])
+@pytest.mark.parametrize("count", [100, 10_000, 240_000, 14_000_000, 1_000_000_000, 100_000_000_000])
 def test_recall_at_the_threshold_stays_as_the_corpus_grows(count):
     rng = np.random.default_rng(9)
-    one = rng.integers(0, 1 << 63, (4000, 4), dtype=np.uint64)
+    one = rng.integers(0, 1 << 63, (800, 4), dtype=np.uint64)
     flips = [rng.choice(simhash.BITS, simhash.MOST, replace=False).tolist() for _ in one]
     two = one.copy()
     two[:, :2] ^= simhash.masks_of(flips)
@@ -201,9 +258,13 @@ def test_recall_at_the_threshold_stays_as_the_corpus_grows(count):
         routed = simhash.keys_of(one, band) == simhash.keys_of(two, band)
         met |= routed & (simhash.keys_of(one[:, None], subs) == simhash.keys_of(two[:, None], subs)).any(axis=1)
     assert met.mean() >= 0.9
+    bands, route, _, _ = simhash.band_plan(count)
+    assert count >> route <= 2 * simhash.BUCKET and bands <= 500
 
 
-def test_pairs_at_the_threshold_are_found_when_bands_are_wide(spark, monkeypatch):
+@pytest.mark.parametrize("hold", [simhash.HOLD, 50])
+def test_pairs_at_the_threshold_are_found_when_bands_are_wide(spark, monkeypatch, hold):
+    monkeypatch.setattr(simhash, "HOLD", hold)
     rng = np.random.default_rng(10)
     one = rng.integers(0, 1 << 63, (300, 4), dtype=np.uint64)
     two = one.copy()
