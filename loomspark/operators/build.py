@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.constants import COLOURS, MIN_CUT_FIELD
 from loomspark.functions.titles import tier_width
 from loomspark.plans.graph import Graph
-from loomspark.sources.snapshot import Snapshot, code
+from loomspark.sources.snapshot import Snapshot, code, colours_in
 
 
 class YearStraddle(ValueError):
@@ -106,10 +106,12 @@ def to_graph(s: Snapshot, decks: DataFrame, deck_pilot: DataFrame, pilots: DataF
         contains=s.contains.join(decks, "deckId", "left_semi").join(s.cards, "canon", "left_semi").select("deckId", "canon", "board"),
         played_at=decks.select("deckId", "event"), has_archetype=tags.select("deckId", "tag", "weight", "isPrimary").distinct(),
         has_macro=decks.select("deckId", code(F.col("macro")).alias("macro")), in_year=years,
+        macro=decks.select(code(F.col("macro")).alias("macro")).distinct(), colour=all_colours(decks.sparkSession),
+        card_type=s.cards.select("type").distinct(), year=years.select("year").distinct(),
+        deck_colour=decks.select("deckId", F.explode(colours_in(code(F.col("colour")))).alias("colour")),
+        card_colour=s.cards.select("canon", F.explode("colours").alias("colour")), has_type=s.cards.select("canon", "type"),
     )
 
 
-def colour_edges(decks: DataFrame) -> DataFrame:
-    identity = code(F.col("colour"))
-    held = F.filter(F.array(*map(F.lit, COLOURS)), lambda c: identity.contains(c))
-    return decks.select("deckId", F.explode(held).alias("colour"))
+def all_colours(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(c,) for c in COLOURS], "colour string")

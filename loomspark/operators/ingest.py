@@ -36,9 +36,16 @@ def union_snapshots(snapshots: list[Snapshot], pinned: DataFrame | None = None)
     s = stacked(snapshots)
     of = lambda kind: None if pinned is None else pinned.where(F.col("entity") == kind)
     seen = s.decks.groupBy("deckId").agg(F.min(F.struct("snap", "deck_ord")).alias("seen_"))
-    decks = _pick(s.decks, "deckId", of("deck")).drop("deck_ord").join(seen, "deckId").withColumn("deck_ord", F.struct("seen_.snap", "seen_.deck_ord")).drop("seen_")
-    lists = s.contains.join(s.decks.select("deckId", "snap"), ["deckId", "snap"], "left_semi")
-    return Snapshot(decks.drop("snap"), _pick(s.cards, "canon", of("card")).drop("snap"), _pick(lists, "deckId", of("deck")).drop("snap"))
+    picked = _pick(s.decks, "deckId", of("deck"))
+    decks = picked.drop("deck_ord").join(seen, "deckId").withColumn("deck_ord", F.struct("seen_.snap", "seen_.deck_ord")).drop("seen_")
+    # the list of the very record that was picked, which may be empty
+    lists = s.contains.join(picked.select("deckId", "snap"), ["deckId", "snap"], "left_semi")
+    return Snapshot(decks.drop("snap"), _pick(s.cards, "canon", of("card")).drop("snap"), lists.drop("snap"))
+
+
+def first_seen(decks: DataFrame) -> DataFrame:
+    """(deckId, first_seen) from rows of (deckId, stamp): known as of every stamp from then on."""
+    return decks.groupBy("deckId").agg(F.min("stamp").alias("first_seen"))
 
 
 def projections(s: Snapshot) -> DataFrame:

@@ -14,6 +14,7 @@ from loomspark.plans.series_queries import SQL as SERIES_SQL
 from loomspark.plans.series_queries import TAG_A, TAG_B, YEAR, busiest_pilots, on
 from loomspark.session import table
 from loomspark.sources import tpch
+from loomspark.sources.snapshot import Snapshot
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +42,45 @@ def snapshot_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest._pick(rows, "deckId", pins).select("deckId", "snap", "pilot", "status")
 
 
+def snapshots(spark: SparkSession, sf_dir: str) -> list[Snapshot]:
+    """The three versions as snapshots. Decks of every thirteenth order lose their list in the
+    last one, and every seventeenth card has another type in the middle one."""
+    rows, lines, part = versions(spark, sf_dir), table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    lists = lines.select(F.col("l_orderkey").alias("deckId"), F.col("l_partkey").alias("canon"), F.when(F.col("l_linestatus") == "O", "Main").otherwise("Side").alias("board")).distinct()
+    out = []
+    for k in range(3):
+        mine = rows.where(F.col("snap") == k)
+        decks = mine.select("deckId", F.col("pilot"), F.concat(F.lit("E"), F.col("status")).alias("event"), (F.col("deckId") % 9).alias("placement"), F.lit("2024-01-01").alias("createdAt"), F.col("deckId").alias("deck_ord"))
+        held = lists if k < 2 else lists.where(F.col("deckId") % 13 != 0)
+        cards = part.select(F.col("p_partkey").alias("canon"), F.col("p_name").alias("name"), F.when((F.lit(k) == 1) & (F.col("p_partkey") % 17 == 0), "Odd").otherwise(F.col("p_type")).alias("type"))
+        out.append(Snapshot(decks, cards, held))
+    return out
+
+
+def projection_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over real projections: a deck's facts and list, a card's name and type."""
+    held = snapshots(spark, sf_dir)
+    rows = ingest.projections(ingest.stacked(held))
+    return ingest.gate_flags(rows.withColumn("id", F.col("id").cast("string")), len(held) - 1)
+
+
+def _united(spark: SparkSession, sf_dir: str) -> Snapshot:
+    return ingest.gated_union(snapshots(spark, sf_dir))[0]
+
+
+def projection_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _united(spark, sf_dir).decks.select("deckId", "pilot", "event", F.col("deck_ord.snap").alias("first_seen"))
+
+
+def projection_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _united(spark, sf_dir).contains.groupBy("deckId").agg(F.count("*").alias("cards"), F.sum("canon").alias("canons"))
+
+
+def deck_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(deckId, first_seen): since which snapshot a deck is known."""
+    return ingest.first_seen(ingest.stacked(snapshots(spark, sf_dir)).decks.withColumnRenamed("snap", "stamp"))
+
+
 def _raw_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decks as a source would have them: some norms and sizes missing, some sizes too small."""
     rows = tpch.entries(table(spark, sf_dir, "orders"))
@@ -82,16 +122,25 @@ QUERIES = {
     "timeline_headline": on(lambda g: display.timeline_headline(series.archetype_timeline(g, TAG_A, TAG_B))),
     "line_crossings": on(lambda g: display.line_crossings(series.archetype_timeline(g, TAG_A, TAG_B)).select("event", "from", "to", "crosses")),
     "latest_deck_year": on(lambda g: series.latest_deck_year(series.meta_share(g))),
-    "graph_counts": on(graph_counts),
+    "graph_counts": on(graph_counts), "deck_colours": on(lambda g: g.deck_colour), "card_colours": on(lambda g: g.card_colour),
+    "projection_union": projection_union, "projection_lists": projection_lists, "projection_flags": projection_flags, "deck_history": deck_history,
 }
 
 _V = "WITH v AS (SELECT o_orderkey AS deckId, snap, o_custkey AS pilot, CASE WHEN snap = 1 AND o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS status FROM orders, range(3) AS g(snap) WHERE NOT (snap = 0 AND o_orderkey % 10 = 0) AND NOT (snap = 1 AND o_orderkey % 7 = 0)), l AS (SELECT *, lag(pilot || '/' || status) OVER (PARTITION BY deckId ORDER BY snap) AS b FROM v), f AS (SELECT deckId, bool_or(b IS NOT NULL AND b <> pilot || '/' || status) AS changed, min(snap) AS first, max(snap) AS last, count(*) AS n FROM l GROUP BY deckId)"
 _E = ", z AS (SELECT deckId, pilot, event, placement, CASE WHEN deckId % 2 = 0 THEN norm END AS pn, CAST(CASE WHEN mon % 3 = 0 THEN NULL WHEN mon % 3 = 1 THEN fieldSize - 20 ELSE 8 END AS BIGINT) AS size FROM d), y AS (SELECT event, max(size) AS size, count(DISTINCT pilot) AS p, coalesce(max(placement), 0) AS m FROM z GROUP BY event), x AS (SELECT event, CASE WHEN size IS NULL THEN greatest(p, m, 24) WHEN p > size OR m > size THEN greatest(p, m, 24) WHEN size <= 8 THEN greatest(p, 24) ELSE size END AS fs, CASE WHEN size IS NULL THEN 'C' WHEN p > size OR m > size THEN 'A' WHEN size <= 8 THEN 'B' END AS fi FROM y), w AS (SELECT *, placement IS NOT NULL AND fs > 1 AND placement BETWEEN 1 AND fs AS ok FROM z JOIN x USING (event)), nm AS (SELECT deckId, CASE WHEN pn IS NOT NULL AND (fi IS NULL OR NOT ok) THEN pn WHEN ok THEN (placement - 1) / CAST(fs - 1 AS DOUBLE) END AS norm2, CASE WHEN pn IS NOT NULL AND fi IS NOT NULL AND ok THEN 'rescaled' WHEN pn IS NOT NULL THEN NULL WHEN ok THEN 'minted' ELSE 'none' END AS rule FROM w)"
+_COLOURS = ", col AS (SELECT unnest(['W', 'U', 'B', 'R', 'G']) AS colour), dcol AS (SELECT deckId, colour FROM d, col WHERE contains(upper(tag), colour)), ccol AS (SELECT canon, colour FROM c, col WHERE contains(upper(name), colour))"
+#: lists of (snap, deck): empty ones where the last snapshot lost them; a deck changes where status or list does
+_U = _V.replace("WITH v AS", "WITH ct AS (SELECT DISTINCT l_orderkey AS deckId, l_partkey AS canon, CASE WHEN l_linestatus = 'O' THEN 'Main' ELSE 'Side' END AS board FROM lineitem), hl AS (SELECT DISTINCT deckId FROM ct), v AS").replace("pilot || '/' || status)", "pilot || '/' || status || '/' || (snap = 2 AND deckId % 13 = 0 AND deckId IN (SELECT deckId FROM hl)))").replace("<> pilot || '/' || status)", "<> pilot || '/' || status || '/' || (snap = 2 AND deckId % 13 = 0 AND deckId IN (SELECT deckId FROM hl)))")
+_U += ", w AS (SELECT v.*, first FROM v JOIN f ON v.deckId = f.deckId AND v.snap = CASE WHEN changed THEN first ELSE last END)"
 _PAIR = "SELECT * FROM (" + SERIES_SQL["archetype_timeline_pair"] + ")"
 
 SQL = {
     "gate_flags": _V + " SELECT 'dropped' AS kind, 'deck' AS entity, CAST(deckId AS VARCHAR) AS id FROM f WHERE n < 3 - first UNION ALL SELECT 'changed', 'deck', CAST(deckId AS VARCHAR) FROM f WHERE changed",
     "snapshot_union": _V + " SELECT v.deckId, v.snap, v.pilot, v.status FROM v JOIN f ON v.deckId = f.deckId AND v.snap = CASE WHEN changed THEN first ELSE last END",
+    "projection_flags": _U + " SELECT 'dropped' AS kind, 'deck' AS entity, CAST(deckId AS VARCHAR) AS id FROM f WHERE n < 3 - first UNION ALL SELECT 'changed', 'deck', CAST(deckId AS VARCHAR) FROM f WHERE changed UNION ALL SELECT 'changed', 'card', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 17 = 0 AND p_type <> 'Odd'",
+    "projection_union": _U + " SELECT deckId, pilot, 'E' || status AS event, CAST(first AS INTEGER) AS first_seen FROM w",
+    "projection_lists": _U + " SELECT deckId, count(*) AS cards, CAST(sum(canon) AS BIGINT) AS canons FROM w JOIN ct USING (deckId) WHERE NOT (snap = 2 AND deckId % 13 = 0) GROUP BY deckId",
+    "deck_history": _V + " SELECT deckId, CAST(first AS INTEGER) AS first_seen FROM f",
     "corrected_field": tpch.SQL + _E + " SELECT event, CAST(fs AS BIGINT) AS fieldSize, fi AS fieldImputed FROM x",
     "norm_mint": tpch.SQL + _E + " SELECT deckId, norm2 AS placementNorm, rule AS normImputed FROM nm",
     "imputed_values": tpch.SQL + _E + " SELECT rule, count(*) AS n, min(deckId) AS first_key, max(deckId) AS last_key FROM nm WHERE rule IS NOT NULL GROUP BY rule",
@@ -103,5 +152,7 @@ SQL = {
     "timeline_headline": "SELECT count(*) AS compared, count(*) FILTER (a < b) AS a_leads, count(*) FILTER (b < a) AS b_leads, abs(greatest(count(*) FILTER (a < b), count(*) FILTER (b < a)) - count(*) / 2.0) - 0.5 > 1.645 * sqrt(count(*)) / 2 AS beyond_chance FROM (SELECT coalesce(mean_norm_a, CASE WHEN mean_norm_b IS NOT NULL THEN bound_a END) AS a, coalesce(mean_norm_b, CASE WHEN mean_norm_a IS NOT NULL THEN bound_b END) AS b FROM (" + _PAIR + ")) WHERE a IS NOT NULL AND b IS NOT NULL",
     "line_crossings": "SELECT event, \"from\", \"to\", gf * g < 0 AS crosses FROM (SELECT event, date AS \"to\", lag(date) OVER (ORDER BY date, event) AS \"from\", lag(g) OVER (ORDER BY date, event) AS gf, g FROM (SELECT event, date, mean_norm_a - mean_norm_b AS g FROM (" + _PAIR + ")) WHERE g IS NOT NULL) WHERE \"from\" IS NOT NULL",
     "latest_deck_year": tpch.SQL + " SELECT max(year) AS year FROM ev",
-    "graph_counts": tpch.SQL + " SELECT * FROM (VALUES ('deck', (SELECT count(*) FROM d)), ('card', (SELECT count(*) FROM c)), ('pilot', (SELECT count(*) FROM customer)), ('event', (SELECT count(*) FROM ev)), ('archetype', (SELECT count(DISTINCT tag) FROM d)), ('piloted_by', (SELECT count(*) FROM d)), ('contains', (SELECT count(*) FROM ct)), ('played_at', (SELECT count(*) FROM d)), ('has_archetype', (SELECT count(*) FROM d)), ('has_macro', (SELECT count(*) FROM hm)), ('in_year', (SELECT count(*) FROM ev))) AS t(\"table\", n)",
+    "deck_colours": tpch.SQL + _COLOURS + " SELECT deckId, colour FROM dcol",
+    "card_colours": tpch.SQL + _COLOURS + " SELECT canon, colour FROM ccol",
+    "graph_counts": tpch.SQL + _COLOURS + " SELECT * FROM (VALUES ('deck', (SELECT count(*) FROM d)), ('card', (SELECT count(*) FROM c)), ('pilot', (SELECT count(*) FROM customer)), ('event', (SELECT count(*) FROM ev)), ('archetype', (SELECT count(DISTINCT tag) FROM d)), ('piloted_by', (SELECT count(*) FROM d)), ('contains', (SELECT count(*) FROM ct)), ('played_at', (SELECT count(*) FROM d)), ('has_archetype', (SELECT count(*) FROM d)), ('has_macro', (SELECT count(*) FROM hm)), ('in_year', (SELECT count(*) FROM ev)), ('macro', (SELECT count(DISTINCT macro) FROM hm)), ('colour', 5), ('card_type', (SELECT count(DISTINCT type) FROM c)), ('year', (SELECT count(DISTINCT year) FROM ev)), ('deck_colour', (SELECT count(*) FROM dcol)), ('card_colour', (SELECT count(*) FROM ccol)), ('has_type', (SELECT count(*) FROM c))) AS t(\"table\", n)",
 }

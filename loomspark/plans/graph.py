@@ -24,6 +24,13 @@ class Graph:
     has_archetype: DataFrame  # deckId, tag, weight, isPrimary
     has_macro: DataFrame  # deckId, macro
     in_year: DataFrame  # event, year
+    macro: DataFrame  # macro
+    colour: DataFrame  # colour: all five, whoever holds them
+    card_type: DataFrame  # type
+    year: DataFrame  # year
+    deck_colour: DataFrame  # deckId, colour
+    card_colour: DataFrame  # canon, colour
+    has_type: DataFrame  # canon, type
 
     @property
     def ranked(self) -> DataFrame:
@@ -39,6 +46,7 @@ class Graph:
         return self.played_at.join(self.in_year, "event")
 
     def counts(self) -> dict[str, int]:
+        """Rows of the nine node and nine edge tables."""
         return {f.name: getattr(self, f.name).count() for f in fields(self)}
 
 

@@ -8,11 +8,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.constants import COLOURS
+
 DECK_SCHEMA = "deckId string, name string, deckName string, pilot string, event string, eventId string, eventType string, placement long, placementNorm double, eventSize long, createdAt string, colour string, macro string, engineTags array<string>, engineTagLabels map<string,string>, primaryTag string, primaryTagWeights map<string,long>, pointsToday long"
 INDEX_SCHEMA = "v int, cards array<struct<canon: string, name: string, type: string, manaCost: string, manaValue: double, reserved: boolean, priceUsd: double, points: long, pointsCompanion: long>>, decks map<string, struct<m: array<int>, s: array<int>>>"
 REQUIRED_DECK = ("deckId", "name", "eventType", "createdAt", "colour", "macro", "engineTags", "engineTagLabels", "primaryTag", "primaryTagWeights")
 REQUIRED_CARD = ("canon", "name", "type", "manaValue", "reserved", "points", "pointsCompanion")
-COLOURS = ("W", "U", "B", "R", "G")
 
 
 class SchemaError(ValueError):
@@ -37,9 +38,10 @@ def snapshot_dirs(root: str) -> list[str]:
     return [str(p) for p in sorted(Path(root).iterdir()) if p.is_dir() and not p.name.startswith(".")]
 
 
-def colours_in(column: str) -> F.Column:
-    held = F.filter(F.array(*map(F.lit, COLOURS)), lambda c: F.col(column).contains(c))
-    return F.when(F.col(column).isNull(), F.array().cast("array<string>")).otherwise(held)
+def colours_in(column: F.Column) -> F.Column:
+    """The colours whose letters a text has, in their fixed order."""
+    held = F.filter(F.array(*map(F.lit, COLOURS)), lambda c: column.contains(c))
+    return F.when(column.isNull(), F.array().cast("array<string>")).otherwise(held)
 
 
 def code(column: F.Column) -> F.Column:
@@ -55,7 +57,7 @@ def load_snapshot(spark: SparkSession, path: str) -> Snapshot:
         decks = decks.withColumn(c, F.coalesce(c, F.lit("nan")))
     decks = decks.withColumn("createdAt", F.to_timestamp("createdAt"))
     index = read(INDEX_SCHEMA, "cards_index.json")
-    cards = index.select(F.posexplode("cards").alias("pos", "c")).select("pos", "c.*").withColumn("colours", colours_in("manaCost"))
+    cards = index.select(F.posexplode("cards").alias("pos", "c")).select("pos", "c.*").withColumn("colours", colours_in(F.col("manaCost")))
     lists = index.select(F.explode("decks").alias("deckId", "boards"))
     ids = lists.select("deckId", F.explode(F.map_from_arrays(F.array(F.lit("Main"), F.lit("Side")), F.array("boards.m", "boards.s"))).alias("board", "ids")).select("deckId", "board", F.explode("ids").alias("pos"))
     # positions are ids within this file only; an unknown one must not pass silently

@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.build import all_colours
 from loomspark.plans.graph import Graph
 from loomspark.session import table
+from loomspark.sources.snapshot import colours_in
 
 
 def entries(orders: DataFrame) -> DataFrame:
@@ -29,11 +31,12 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     customer, part, lines = (table(spark, sf_dir, t) for t in ("customer", "part", "lineitem"))
     none = F.lit(None).cast("string")
     points = F.col("p_size").cast("long") % 8
+    kind = F.when(F.col("p_size") % 6 == 0, "Lands").otherwise(F.col("p_type"))
     keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("deckId"), F.date_format("o_orderdate", "yyyy-MM").alias("event"), F.col("o_custkey").alias("pilot"), F.col("o_orderpriority").alias("tag"), F.year("o_orderdate").cast("long").alias("year"), F.month("o_orderdate").alias("month"))
     events = keys.groupBy("event", "year", "month").agg(F.count("*").alias("fieldSize"))
     return Graph(
         deck=rows.select("deckId", F.concat(F.lit("order "), F.col("deckId")).alias("deckName"), "placement", "norm", none.alias("placementImputed"), F.when(F.col("norm").isNull(), "none").alias("normImputed"), "createdAt"),
-        card=part.select(F.col("p_partkey").alias("canon"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 6 == 0, "Lands").otherwise(F.col("p_type")).alias("type"), points.alias("points"), F.when(F.col("p_size") % 5 == 0, points + 2).otherwise(F.lit(0)).cast("long").alias("pointsCompanion")),
+        card=part.select(F.col("p_partkey").alias("canon"), F.col("p_name").alias("name"), kind.alias("type"), points.alias("points"), F.when(F.col("p_size") % 5 == 0, points + 2).otherwise(F.lit(0)).cast("long").alias("pointsCompanion")),
         pilot=customer.select(F.col("c_custkey").alias("pilot"), F.col("c_name").alias("displayName")),
         event=events.select("event", F.when(F.col("month") == 7, "Teams").otherwise("Tournament").alias("eventType"), "fieldSize", F.when(F.col("month") == 5, "A").alias("fieldImputed")),
         archetype=keys.select("tag").distinct().select("tag", F.col("tag").alias("name")),
@@ -43,6 +46,11 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
         has_archetype=keys.select("deckId", "tag", F.lit(100).cast("long").alias("weight"), F.lit(True).alias("isPrimary")),
         has_macro=keys.join(customer.select(F.col("c_custkey").alias("pilot"), F.col("c_mktsegment").alias("macro")), "pilot").select("deckId", "macro"),
         in_year=events.select("event", "year"),
+        macro=keys.join(customer.select(F.col("c_custkey").alias("pilot"), F.col("c_mktsegment").alias("macro")), "pilot").select("macro").distinct(),
+        colour=all_colours(spark), card_type=part.select(kind.alias("type")).distinct(), year=events.select("year").distinct(),
+        deck_colour=keys.select("deckId", F.explode(colours_in(F.upper("tag"))).alias("colour")),
+        card_colour=part.select(F.col("p_partkey").alias("canon"), F.explode(colours_in(F.upper("p_name"))).alias("colour")),
+        has_type=part.select(F.col("p_partkey").alias("canon"), kind.alias("type")),
     )
 
 

@@ -36,6 +36,16 @@ def test_gate_and_union(spark, three):
     assert {r.canon for r in whole.contains.where("deckId = 'd1' and board = 'Main'").collect()} == {"a", "b"}
 
 
+def test_an_emptied_list_stays_empty(spark, tmp_path):
+    """The newest record of a deck may have no cards; a pinned deck keeps its first list."""
+    for k, lists in enumerate([{"d1": {"m": [0], "s": []}, "d2": {"m": [], "s": []}}, {"d1": {"m": [], "s": []}, "d2": {"m": [1], "s": []}}]):
+        write(tmp_path, f"2024010{k + 1}T000000Z", [deck("d1"), deck("d2", "p2")], CARDS, lists)
+    held = [snapshot.load_checked(spark, p) for p in snapshot.snapshot_dirs(str(tmp_path))]
+    assert [(r.deckId, r.canon) for r in ingest.union_snapshots(held).contains.collect()] == [("d2", "b")]
+    whole, flags = ingest.gated_union(held)
+    assert {r.id for r in flags.collect()} == {"d1", "d2"} and [(r.deckId, r.canon) for r in whole.contains.collect()] == [("d1", "a")]
+
+
 def test_bad_snapshots_are_refused(spark, tmp_path):
     bad = write(tmp_path / "x", "20240101T000000Z", [deck("d1")], CARDS, {"d1": {"m": [7], "s": []}})
     with pytest.raises(snapshot.SchemaError):
@@ -58,6 +68,9 @@ def test_corrected_field(spark):
 def test_whole_ingest(spark, three, tmp_path):
     g = ingest_plan.run(spark, three, str(tmp_path / "none.toml"), str(tmp_path / "out" / "graph"))
     assert g.counts()["deck"] == 4 and g.pilot.count() == 4
+    assert len(g.counts()) == 18 and g.counts()["colour"] == 5 and g.counts()["macro"] == 1 and g.counts()["card_type"] == 2
+    assert {(r.deckId, r.colour) for r in g.deck_colour.collect()} == {(f"d{k}", x) for k in range(1, 5) for x in "UB"}
+    assert {(r.canon, r.colour) for r in g.card_colour.collect()} == {(x, "U") for x in "abc"} and g.has_type.count() == 3
     assert {r.tag for r in run_series(g, MetaShare()).collect()} == {"storm"}
     norms = {r.deckId: (r.norm, r.normImputed) for r in g.deck.collect()}
     assert norms["d1"] == (0.0, "minted") and norms["d2"][0] == pytest.approx(1 / 31)
