@@ -5,7 +5,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import replace
+from functools import lru_cache, reduce
 from statistics import NormalDist
 
 import pandas as pd
@@ -14,16 +15,38 @@ from pyspark.sql import functions as F
 
 from loomspark import constants as c
 from loomspark.plans.graph import Graph
+from loomspark.session import materialised
 
 
-def slices(g: Graph, top_cut: float = c.GEM_TOP_CUT) -> DataFrame:
+GRAIN = 4096  # buckets of norm in which a cut is looked for
+
+
+def slices(g: Graph, top_cut: float = c.GEM_TOP_CUT, majors: str = "off", least: int = c.MIN_GEM_SLICE) -> DataFrame:
     """(tag, deckId, event, norm, total, top): ranked decks of archetypes large enough, the leading
-    fifth of each marked."""
+    fifth of each marked. ``majors`` "cut" marks decks of large fields only, "pool" takes the fifth
+    among those. The cut falls into one bucket of norms, and only that one is sorted: an
+    archetype of any size is ranked by many tasks."""
     rows = g.ranked.select("deckId", "norm").join(g.primary, "deckId").join(g.played_at, "deckId")
+    if majors != "off":
+        large = g.event.select("event", (F.coalesce("fieldSize", F.lit(0)) > c.MAJOR_FIELD_SIZE).alias("major"))
+        rows = rows.join(large, "event")
+    else:
+        rows = rows.withColumn("major", F.lit(True))
+    pooled = F.col("major") if majors == "pool" else F.lit(True)
+    rows = rows.withColumn("bucket", F.when(pooled, F.floor(F.col("norm") * GRAIN)))
     by = Window.partitionBy("tag")
-    rows = rows.withColumn("total", F.count("*").over(by)).where(F.col("total") >= c.MIN_GEM_SLICE)
-    cut = F.greatest(F.lit(1), F.bround(F.col("total") * top_cut).cast("long"))
-    return rows.withColumn("top", F.row_number().over(by.orderBy("norm", "deckId")) <= cut)
+    counts = rows.groupBy("tag", "bucket").agg(F.count("*").alias("here"))  # GRAIN rows a tag
+    inside = F.when(F.col("bucket").isNotNull(), F.col("here"))
+    counts = counts.withColumn("total", F.sum("here").over(by)).withColumn("pool", F.coalesce(F.sum(inside).over(by), F.lit(0)))
+    counts = counts.withColumn("before", F.coalesce(F.sum(inside).over(by.orderBy(F.asc_nulls_last("bucket")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    counts = counts.where(F.col("total") >= least).withColumn("cut", F.greatest(F.lit(1), F.bround(F.col("pool") * top_cut).cast("long")))
+    counts = counts.withColumnRenamed("tag", "tag_").withColumnRenamed("bucket", "bucket_")
+    rows = rows.join(counts, (F.col("tag") == F.col("tag_")) & F.col("bucket").eqNullSafe(F.col("bucket_")))
+    place = F.row_number().over(Window.partitionBy("tag", "bucket").orderBy("norm", "deckId"))
+    top = F.col("bucket").isNotNull() & (F.col("before") + place <= F.col("cut"))
+    if majors == "cut":
+        top &= F.col("major")
+    return rows.withColumn("top", top).select("tag", "deckId", "event", "norm", "total", "top")
 
 
 def candidates(g: Graph, held: DataFrame, max_share: float = c.MAX_GEM_SHARE, min_decks: int = c.MIN_GEM_DECKS) -> DataFrame:
@@ -69,9 +92,9 @@ def deflated(tail: float, decks: int, pilots: int, icc: float = c.PILOT_ICC) ->
     return 1 - normal.cdf(z / math.sqrt(1 + (decks / pilots - 1) * icc))
 
 
-def judged(shapes: DataFrame, max_luck: float = c.MAX_GEM_LUCK) -> DataFrame:
-    """Adds ``luck`` (deflated tail of the card's own hits) and ``clears`` (chance that luck alone
-    clears the threshold). Arrow batches; equal shapes are worked out once a batch."""
+def judged(shapes: DataFrame, bars: tuple[float, ...]) -> DataFrame:
+    """Adds ``luck`` (deflated tail of the card's own hits) and ``clears`` (for each bar, the chance
+    that luck alone clears it). Arrow batches; equal shapes are worked out once a batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -80,27 +103,33 @@ def judged(shapes: DataFrame, max_luck: float = c.MAX_GEM_LUCK) -> DataFrame:
             for shape, decks, pilots, hits in zip(rows["strata"], rows["decks"], rows["pilots"], rows["hits"], strict=True):
                 key = (tuple((s["held"], s["topped"], s["drawn"]) for s in shape), decks, pilots)
                 if key not in known:
-                    known[key] = [deflated(t, decks, pilots) for t in tails(key[0])]
-                luck.append(known[key][hits])
-                clears.append(next((t for t in known[key] if t <= max_luck), 0.0))
+                    chances = [deflated(t, decks, pilots) for t in tails(key[0])]
+                    known[key] = chances, [next((t for t in chances if t <= bar), 0.0) for bar in bars]
+                luck.append(known[key][0][hits])
+                clears.append(known[key][1])
             yield rows.drop(columns="strata").assign(luck=luck, clears=clears)
 
     tag, canon = (shapes.schema[k].dataType.simpleString() for k in ("tag", "canon"))
-    return shapes.mapInPandas(run, f"tag {tag}, canon {canon}, decks long, hits long, pilots long, total long, luck double, clears double")
+    return shapes.mapInPandas(run, f"tag {tag}, canon {canon}, decks long, hits long, pilots long, total long, luck double, clears array<double>")
+
 
+def shapes_of(g: Graph, held: DataFrame, max_share: float = c.MAX_GEM_SHARE, min_decks: int = c.MIN_GEM_DECKS) -> DataFrame:
+    found = candidates(g, held, max_share, min_decks)
+    return strata(g, held, found).select("tag", "canon", "decks", "hits", "pilots", "total", "strata")
 
-def screened(g: Graph, max_luck: float | None = None) -> DataFrame:
-    held = slices(g)
-    shapes = strata(g, held, candidates(g, held)).select("tag", "canon", "decks", "hits", "pilots", "total", "strata")
-    return judged(shapes, c.MAX_GEM_LUCK if max_luck is None else max_luck)
 
+def screened(g: Graph, max_luck: float | None = None, held: DataFrame | None = None) -> DataFrame:
+    rows = judged(shapes_of(g, slices(g) if held is None else held), (c.MAX_GEM_LUCK if max_luck is None else max_luck,))
+    return rows.withColumn("clears", F.col("clears")[0])
 
-def hidden_gems(g: Graph) -> DataFrame:
+
+def hidden_gems(g: Graph, held: DataFrame | None = None) -> DataFrame:
     """Admitted cards by luck, archetype and card, within the budget of nodes: an archetype, a
     card and every deck that topped with it cost one node each, shared ones once."""
     order = Window.orderBy("luck", "tag", "canon")  # what was admitted is a short list
-    gems = screened(g).where(F.col("luck") <= c.MAX_GEM_LUCK).withColumn("luck", F.round("luck", 12)).withColumn("ord", F.row_number().over(order))
-    tops = slices(g).where("top").select("tag", "deckId").join(g.contains.select("deckId", "canon").distinct(), "deckId").join(gems.select("tag", "canon", "ord"), ["tag", "canon"])
+    held = materialised(slices(g), "slices") if held is None else held
+    gems = screened(g, held=held).where(F.col("luck") <= c.MAX_GEM_LUCK).withColumn("ord", F.row_number().over(order))
+    tops = held.where("top").select("tag", "deckId").join(g.contains.select("deckId", "canon").distinct(), "deckId").join(gems.select("tag", "canon", "ord"), ["tag", "canon"])
     new_decks = tops.groupBy("deckId").agg(F.min("ord").alias("ord")).groupBy("ord").agg(F.count("*").alias("new_decks"))
     first_tag = F.row_number().over(Window.partitionBy("tag").orderBy("ord")) == 1
     cost = F.lit(1) + first_tag.cast("int") + F.coalesce("new_decks", F.lit(0))
@@ -113,22 +142,35 @@ def hidden_gems(g: Graph) -> DataFrame:
 def expected_by_luck(g: Graph) -> DataFrame:
     """One row: gems that luck alone would admit, over everything screened; summed in order. The
     bar is the weakest drawn gem's luck where the budget of nodes cuts the list."""
-    judged_ = screened(g).where(F.col("luck") <= c.MAX_GEM_LUCK)
-    drawn = hidden_gems(g).select("tag", "canon", F.lit(True).alias("drawn"))
-    cut = judged_.join(drawn, ["tag", "canon"], "left").agg(F.count("*").alias("admitted"), F.count("drawn").alias("drawn"), F.max(F.when(F.col("drawn"), F.col("luck"))).alias("weakest")).first()
-    bar = cut.weakest if 0 < cut.drawn < cut.admitted else c.MAX_GEM_LUCK
-    lists = screened(g, bar).agg(F.array_sort(F.collect_list("clears")).alias("x"))
+    held = materialised(slices(g), "slices")
+    judged_ = materialised(screened(g, held=held), "screened")
+    admitted = judged_.where(F.col("luck") <= c.MAX_GEM_LUCK)
+    drawn = hidden_gems(g, held).select("tag", "canon", F.lit(True).alias("drawn"))
+    cut = admitted.join(drawn, ["tag", "canon"], "left").agg(F.count("*").alias("admitted"), F.count("drawn").alias("drawn"), F.max(F.when(F.col("drawn"), F.col("luck"))).alias("weakest")).first()
+    if 0 < cut.drawn < cut.admitted:
+        judged_ = screened(g, cut.weakest, held)
+    lists = judged_.agg(F.array_sort(F.collect_list("clears")).alias("x"))
     return lists.select(F.aggregate("x", F.lit(0.0), lambda a, b: a + b).alias("expected"))
 
 
-def sweep(g: Graph, shares=(0.10, 0.15, 0.20, 0.25), cuts=(0.15, 0.20, 0.25), lucks=(0.005, 0.010, 0.020), floors=(4, 5, 6, 8)) -> DataFrame:
-    """How many gems each of 144 settings admits."""
-    out = None
-    for cut in cuts:  # three passes; the other settings are filters on a joined grid
-        held = slices(g, cut)
-        rows = judged(strata(g, held, candidates(g, held, max(shares), min(floors))).select("tag", "canon", "decks", "hits", "pilots", "total", "strata"))
-        out = rows.withColumn("cut", F.lit(cut)) if out is None else out.unionByName(rows.withColumn("cut", F.lit(cut)))
+SWEEP_CUTS, SWEEP_SHARES, SWEEP_FLOORS, SWEEP_LUCKS, SWEEP_MAJORS = (0.10, 0.20, 0.25, 0.33), (0.05, 0.10, 0.15), (5, 6, 8), (0.05, 0.01, 0.005, 0.001), ("off", "cut", "pool")
+
+
+def sweep(g: Graph, cuts=SWEEP_CUTS, shares=SWEEP_SHARES, floors=SWEEP_FLOORS, lucks=SWEEP_LUCKS, majors=SWEEP_MAJORS) -> DataFrame:
+    """What each setting finds, over how many archetypes, and how much of it luck explains. A
+    cell looks at archetypes of at least min_decks / max_share decks; ``majors`` as in ``slices``."""
+    least = math.ceil(min(floors) / max(shares))
+    # what all passes read is worked out once
+    g = replace(g, deck=materialised(g.deck.select("deckId", "norm"), "decks"), contains=materialised(g.contains.select("deckId", "canon").distinct(), "lists"), event=materialised(g.event, "events"))
+    parts = []
+    for mode in majors:  # a pass a mode and cut; the other settings are filters on a joined grid
+        for cut in cuts:
+            held = slices(g, cut, mode, least)
+            held = held.join(held.where("top").select("tag").distinct(), "tag", "left_semi")
+            parts.append(judged(shapes_of(g, held, max(shares), min(floors)), lucks).withColumn("cut", F.lit(cut)).withColumn("mode", F.lit(mode)))
+    rows = materialised(reduce(DataFrame.unionByName, parts), "sweep")
     spark = g.deck.sparkSession
-    grid = spark.createDataFrame([(s, x, m, k) for s in shares for x in cuts for m in lucks for k in floors], "max_share double, top_cut double, max_luck double, min_decks int")
-    admitted = (F.col("cut") == F.col("top_cut")) & (F.col("luck") <= F.col("max_luck")) & (F.col("decks") >= F.col("min_decks")) & (F.col("decks") <= F.col("max_share") * F.col("total"))
-    return F.broadcast(grid).join(out, admitted, "left").groupBy("max_share", "top_cut", "max_luck", "min_decks").agg(F.count("canon").alias("gems"))
+    grid = spark.createDataFrame([(mode, x, s, k, m, at, math.ceil(k / s)) for mode in majors for x in cuts for s in shares for k in floors for at, m in enumerate(lucks)], "majors string, top_cut double, max_share double, min_decks int, max_luck double, at int, least int")
+    fits = (F.col("mode") == F.col("majors")) & (F.col("cut") == F.col("top_cut")) & (F.col("decks") >= F.col("min_decks")) & (F.col("decks") <= F.col("max_share") * F.col("total")) & (F.col("total") >= F.col("least"))
+    found = F.col("luck") <= F.col("max_luck")
+    return F.broadcast(grid).join(rows, fits, "left").groupBy("majors", "top_cut", "max_share", "min_decks", "max_luck").agg(F.count(F.when(found, F.col("canon"))).alias("gems"), F.countDistinct(F.when(found, F.col("tag"))).alias("archetypes"), F.round(F.coalesce(F.sum(F.element_at("clears", F.col("at") + 1)), F.lit(0.0)), 6).alias("expected"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from loomspark.constants import TOP_PARTNERS
-from loomspark.operators import gems, leaderboard, series, subgraph
+from loomspark.operators import gems, leaderboard, pictures, series, subgraph
 from loomspark.plans.graph import Graph
 
 
@@ -80,21 +80,22 @@ class Leaderboard:
 
 
 def run_query(g: Graph, spec) -> dict[str, DataFrame]:
-    """Nodes and edges, or the rows they are drawn from."""
+    """``nodes`` and ``edges`` for every query; gems also say how many luck explains."""
     match spec:
         case PilotNeighbourhood(a, b):
             return {"nodes": subgraph.neighbourhood_nodes(g, a, b), "edges": subgraph.neighbourhood_edges(g, a, b)}
         case CardUsage(canon, board):
-            return {"rows": subgraph.card_usage(g, canon, board)}
+            found = pictures.card_usage(g, canon, board)
         case CardCooccurrence(a, b, top, lands):
-            if b is None or b == a:
-                return {"seed": subgraph.seed_decks(g, a), "rows": subgraph.cooccurrence(g, a, top, lands)}
-            return {"rows": subgraph.shared_cooccurrence(g, a, b, top, lands)}
+            found = pictures.cooccurrence(g, a, top, lands) if b is None else pictures.shared_cooccurrence(g, a, b, top, lands)
         case HiddenGems():
-            return {"rows": gems.hidden_gems(g), "expected": gems.expected_by_luck(g)}
+            found = pictures.hidden_gems(g)
+            return {"nodes": found[0], "edges": found[1], "expected": gems.expected_by_luck(g)}
         case PilotAffinity(pilot):
-            return {"rows": subgraph.pilot_affinity(g, pilot)}
-    raise TypeError(f"no such query: {spec!r}")
+            found = pictures.pilot_affinity(g, pilot)
+        case _:
+            raise TypeError(f"no such query: {spec!r}")
+    return {"nodes": found[0], "edges": found[1]}
 
 
 def run_series(g: Graph, spec) -> DataFrame:

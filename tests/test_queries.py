@@ -16,7 +16,7 @@ from loomspark.sources import artifact, tpch
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-NAMES = ["meta_share", "card_adoption_board", "cut_only_events", "tail_bounds", "pilot_performance", "head_to_head", "landscape", "archetype_timeline_pair", "leaderboard_scores", "card_usage", "cooccur_pair", "pilot_affinity", "deck_points", "gem_candidates", "gate_flags", "norm_mint"]
+NAMES = ["meta_share", "card_adoption_board", "cut_only_events", "tail_bounds", "pilot_performance", "head_to_head", "landscape", "archetype_timeline_pair", "leaderboard_scores", "card_usage", "cooccur_pair", "pilot_affinity", "deck_points", "gem_candidates", "gate_flags", "norm_mint", "graph_counts", "projection_lists", "projection_flags", "hidden_gems", "gem_screened", "gem_picture_edges", "card_usage_nodes", "cooccur_pair_nodes", "cooccur_apart_nodes", "affinity_lone_nodes"]
 
 
 @pytest.fixture(scope="module")

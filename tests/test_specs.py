@@ -26,6 +26,6 @@ def test_series_dispatch(g):
 
 
 def test_unknown_card_and_board(g):
-    assert specs.run_query(g, specs.CardCooccurrence(-1))["seed"].count() == 0
+    assert specs.run_query(g, specs.CardCooccurrence(-1))["nodes"].count() == 0
     rows = specs.run_series(g, specs.CardAdoption(-1)).collect()
     assert rows and all(r["count"] == 0 and r["share"] == 0 for r in rows)
