@@ -8,8 +8,8 @@ the same order. Groups are the connected components, named by their smallest doc
 
 Pivot tables: the Hamming distances from each fingerprint to ``PIVOTS`` reference
 fingerprints. By the triangle inequality a pair whose coordinates differ by more than MOST
-anywhere is no near copy; such pairs go before any fingerprint is compared, and what
-survives is verified bit by bit. The table alone would need all pairs, so bands of
+anywhere is no near copy. Of a pair a word of the first fingerprint and the second one are
+asked before the table, which costs more; what survives is verified bit by bit. The table alone would need all pairs, so bands of
 fingerprint bits first choose the pairs: each of ``BANDS`` samples of bits or more routes a row
 to a bucket, in which rows are compared that agree in one of the band's sub-bands of further
 bits as well. A bucket has about ``BUCKET`` rows at most: bands get wider, and more, with the
@@ -37,6 +37,7 @@ from loomspark.llm.textops import Words, flat, mix, ranges, release, slices, sto
 
 BITS, MOST, MOST_PAIRS, PIVOTS, BANDS, LIGHT = 128, 28, 36, 32, 48, 3
 ROUTE, BUCKET, RECALL = 8, 1 << 20, 0.95
+LEADERS, LEAD = 3, 32  # rows that are compared first with all of a run, and runs they are chosen in
 HOLD = 1 << 17  # rows of small buckets that are worked through together
 WORDS64 = 4  # two for words, two for pairs of words
 _FP = [f"f{k}" for k in range(WORDS64)]
@@ -151,22 +152,42 @@ def keys_of(prints: np.ndarray, masks: np.ndarray, seed: np.ndarray | int = 0) -
     return mix((prints[..., 0] & masks[..., 0]) + mix((prints[..., 1] & masks[..., 1]) + mix(np.asarray(seed, np.uint64))))
 
 
+def sums_of(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Keys of two masked words within a bucket. The factors are odd and the first product is
+    folded, else the top bits would be lost."""
+    key = first * (_SEEDS[0] | np.uint64(1))
+    return (key ^ (key >> np.uint64(32))) + second * (_SEEDS[1] | np.uint64(1))
+
+
 def near(a: np.ndarray, b: np.ndarray, most: int = MOST, most_pairs: int = MOST_PAIRS) -> np.ndarray:
     """The definition of a near copy, on fingerprints of shape (..., 4)."""
     return (distances(a[..., :2], b[..., :2]) <= most) & (distances(a[..., 2:], b[..., 2:]) <= most_pairs)
 
 
-def pairs_in(key: np.ndarray, prints: np.ndarray, table: np.ndarray, most: int, most_pairs: int, chunk: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, int, int]:
+def pairs_in(key: np.ndarray, prints: np.ndarray, table: np.ndarray, most: int, most_pairs: int, chunk: int = 1 << 17, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int, int]:
     """Near pairs among rows with equal keys (sorted), and how many pairs were formed and how
-    many the pivot table let through. Works through every pair, ``chunk`` at a time."""
+    many the pivot table let through. Works through every pair, ``chunk`` at a time, or, with
+    ``group`` (sorted within a key), through every pair of different groups. A word of the first
+    fingerprint and then the second one are asked before the table: they cost less."""
     n = len(key)
-    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-    later = np.repeat(cut[1:], np.diff(cut)) - np.arange(n) - 1
+    edge = key[1:] != key[:-1]
+    cut = np.flatnonzero(np.concatenate(([True], edge, [True])))
+    follow = np.arange(1, n + 1)
+    if group is not None:
+        block = np.flatnonzero(np.concatenate(([True], edge | (group[1:] != group[:-1]), [True])))
+        follow = np.repeat(block[1:], np.diff(block))
+    later = np.repeat(cut[1:], np.diff(cut)) - follow
     left, right, formed, let = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], int(later.sum()), 0
     at, sums = 0, np.concatenate(([0], np.cumsum(later)))
+    words = [np.ascontiguousarray(prints[:, k]) for k in range(WORDS64)]
     while at < n:
         to = max(at + 1, int(np.searchsorted(sums, sums[at] + chunk, "right")) - 1)
-        a, b = np.repeat(np.arange(at, to), later[at:to]), ranges(np.arange(at, to) + 1, later[at:to])
+        size = later[at:to]
+        b = ranges(follow[at:to], size)
+        some = np.flatnonzero(np.bitwise_count(np.repeat(words[0][at:to], size) ^ words[0][b]) <= most)
+        a, b = np.repeat(np.arange(at, to), size)[some], b[some]
+        some = np.flatnonzero(np.bitwise_count(words[2][a] ^ words[2][b]) + np.bitwise_count(words[3][a] ^ words[3][b]) <= most_pairs)
+        a, b = a[some], b[some]
         for k in range(table.shape[1]):
             close = np.abs(table[a, k] - table[b, k]) <= most
             if not close.all():
@@ -179,6 +200,17 @@ def pairs_in(key: np.ndarray, prints: np.ndarray, table: np.ndarray, most: int,
     return np.concatenate(left), np.concatenate(right), formed, let
 
 
+def led(key: np.ndarray, group: np.ndarray, prints: np.ndarray, most: int, most_pairs: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Near pairs of one row of each run of equal keys with the run's other groups: copies of one
+    text join it before pairs among themselves are formed. ``turn`` chooses the row."""
+    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    size = np.diff(cut)
+    leader = np.repeat(cut[:-1] + (turn * 0x9E3779B1 % (1 << 32) * size >> 32), size)
+    row = np.flatnonzero(group != group[leader])
+    row = row[near(prints[row], prints[leader[row]], most, most_pairs)]
+    return leader[row], row
+
+
 def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(id, smallest id of its component) for the pairs of rows a, b: what a bucket has to tell."""
     nodes, back = np.unique(np.concatenate((ids[a], ids[b])), return_inverse=True)
@@ -196,6 +228,16 @@ def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
     return nodes[keep], nodes[root[keep]]
 
 
+def grouped(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root``, each row's group, after the rows of the pairs a, b were joined."""
+    if not len(a):
+        return root
+    root = root.copy()
+    node, low = forest(root, a, b)
+    root[node] = low
+    return root[root]
+
+
 def near_edges(prints: DataFrame, most: int = MOST, most_pairs: int = MOST_PAIRS, bands: int = BANDS) -> DataFrame:
     """(src, dst) edges, dst < src, that connect all near fingerprints found. ``prints`` has
     each distinct fingerprint once, with the smallest doc_id that has it as ``doc_id``."""
@@ -222,20 +264,25 @@ def near_edges(prints: DataFrame, most: int = MOST, most_pairs: int = MOST_PAIRS
         ids, who = np.unique(held["doc_id"].to_numpy(), return_inverse=True)
         table = np.stack([distances(fp[:, :2], p[:2]) for p in pivots], axis=1).astype(np.int16)
         root = np.arange(len(ids))
+        first, second = np.ascontiguousarray(fp[:, 0]), np.ascontiguousarray(fp[:, 1])
         for k in range(subs):
-            key = keys_of(fp, masks[band, k], routed)
-            by = np.argsort(key, kind="stable")
+            key = sums_of(first & masks[:, k, 0][band], second & masks[:, k, 1][band]) + routed
+            by = np.argsort(key)
             key = key[by]
             # runs of equal keys whose documents aren't all in one group already
             heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            of = root[who[by]]
+            of, sizes = root[who[by]], np.diff(np.concatenate((heads, [len(key)])))
             open_ = np.minimum.reduceat(of, heads) < np.maximum.reduceat(of, heads)
-            use = np.repeat(open_, np.diff(np.concatenate((heads, [len(key)]))))
-            order, key = by[use], key[use]
-            a, b, _, _ = pairs_in(key, fp[order], table[order], most, most_pairs)
-            node, low = forest(root[who[order]], a, b)
-            root[node] = low
-            root = root[root]
+            by, sizes = by[np.repeat(open_, sizes)], sizes[open_]
+            run = np.repeat(np.arange(len(sizes)), sizes)
+            large = np.flatnonzero(np.repeat(sizes > LEAD, sizes))
+            for turn in range(LEADERS if len(large) else 0):
+                a, b = led(run[large], root[who[by[large]]], fp[by[large]], most, most_pairs, turn * subs + k + 1)
+                root = grouped(root, who[by[large[a]]], who[by[large[b]]])
+            order = np.argsort(run * len(ids) + root[who[by]])
+            by, run = by[order], run[order]
+            a, b, _, _ = pairs_in(run, fp[by], table[by], most, most_pairs, group=root[who[by]])
+            root = grouped(root, who[by[a]], who[by[b]])
         keep = np.flatnonzero(root != np.arange(len(ids)))
         return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[root[keep]])], names=["src", "dst"])
 

@@ -244,6 +244,33 @@ def test_pivot_table_only_discards_what_is_far():
     assert set(zip(a.tolist(), b.tolist())) == want
 
 
+def test_pairs_within_a_group_are_not_formed_again():
+    """Copies that are one group already, and words in common without their order, cost no pairs of copies."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, (6, 4), dtype=np.uint64)
+    prints = np.repeat(base, [300, 40, 1, 1, 1, 1], axis=0)
+    prints[:, :2] = base[0, :2]  # the same words, six orders
+    prints[:, 1] ^= rng.integers(0, 1 << 10, len(prints), dtype=np.uint64)
+    key, group = np.repeat([7, 8], [342, 2]), np.repeat(np.arange(6), [300, 40, 1, 1, 1, 1])
+    table_ = np.stack([simhash.distances(prints[:, :2], p[:2]) for p in prints[:5]], axis=1).astype(np.int16)
+    all_a, all_b, formed, _ = simhash.pairs_in(key, prints, table_, 28, 36)
+    a, b, fewer, _ = simhash.pairs_in(key, prints, table_, 28, 36, group=group)
+    assert formed == 342 * 341 // 2 + 1 and fewer == 300 * 42 + 40 * 2 + 1 + 1 and len(a) == len(b) == 0
+    assert len(all_a) == 300 * 299 // 2 + 40 * 39 // 2 == len(set(zip(all_a.tolist(), all_b.tolist())))
+    alone = np.arange(len(key))
+    root = simhash.grouped(alone, *simhash.led(key, alone, prints, 28, 36, 1))
+    assert len(np.unique(root[:342])) < 342 and {tuple(np.unique(group[root == r])) for r in root} == {(g,) for g in range(6)}
+    again = simhash.pairs_in(key, prints, table_, 28, 36, group=alone)
+    assert set(zip(*map(np.ndarray.tolist, again[:2]))) == set(zip(all_a.tolist(), all_b.tolist()))
+
+
+def test_sub_band_keys_keep_every_bit():
+    one = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    none = np.zeros(64, np.uint64)
+    assert len(set(simhash.sums_of(one, none).tolist()) | set(simhash.sums_of(none, one).tolist()) | {0}) == 129
+    assert len(set(simhash.sums_of(one[:, None], one[None]).ravel().tolist())) == 64 * 64
+
+
 @pytest.mark.parametrize("count", [100, 10_000, 240_000, 14_000_000, 1_000_000_000, 100_000_000_000])
 def test_recall_at_the_threshold_stays_as_the_corpus_grows(count):
     rng = np.random.default_rng(9)
