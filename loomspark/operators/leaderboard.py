@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark import constants as c
@@ -38,29 +38,41 @@ def contenders(finishes: DataFrame, newest: DataFrame) -> DataFrame:
     return finishes.join(held.select("pilot"), "pilot", "left_semi")
 
 
+def exact(value: Column) -> Column:
+    """A sum that does not depend on the order of rows."""
+    return F.sum(value.cast("decimal(38,20)")).cast("double")
+
+
 def shrinkage(finishes: DataFrame) -> DataFrame:
-    """One row (mu, k): grand mean and strength of the pull towards it; k null pulls all the way."""
-    groups = finishes.groupBy("pilot").agg(F.count("*").alias("n"), F.avg("score").alias("m"), F.var_samp("score").alias("v"), F.sum("score").alias("s"))
-    total = groups.agg(F.sum("n").alias("N"), F.count("*").alias("G"), F.sum("s").alias("S"), F.sum(F.col("v") * (F.col("n") - 1)).alias("ssw"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("nmm"))
-    total = total.withColumn("mu", F.col("S") / F.col("N")).withColumn("within", F.col("ssw") / (F.col("N") - F.col("G")))
-    total = total.withColumn("across", (F.col("nmm") - F.col("N") * F.col("mu") * F.col("mu")) / (F.col("G") - 1))
+    """One row (mu, k): grand mean and strength of the pull towards it; k null pulls all the way.
+    Sums over all finishes are exact: ``between`` is a small difference, and noise in it would move every score."""
+    groups = finishes.groupBy("pilot").agg(F.count("*").alias("n"), F.avg("score").alias("m"), F.var_samp("score").alias("v"), F.sum(F.col("score").cast("decimal(38,20)")).alias("s"))
+    total = groups.agg(F.sum("n").alias("N"), F.count("*").alias("G"), F.sum("s").cast("double").alias("S"), exact(F.col("v") * (F.col("n") - 1)).alias("ssw"), F.sum(F.col("n") * F.col("n")).alias("nn")).withColumn("mu", F.col("S") / F.col("N"))
+    off = F.col("m") - F.col("mu")
+    apart = groups.select("n", "m").crossJoin(F.broadcast(total.select("mu"))).agg(exact(F.col("n") * off * off).alias("ssb"))
+    total = total.crossJoin(F.broadcast(apart)).withColumn("within", F.col("ssw") / (F.col("N") - F.col("G"))).withColumn("across", F.col("ssb") / (F.col("G") - 1))
     total = total.withColumn("typical", (F.col("N") - F.col("nn") / F.col("N")) / (F.col("G") - 1)).withColumn("between", (F.col("across") - F.col("within")) / F.col("typical"))
     return total.select("mu", F.when(F.col("between") > 0, F.col("within") / F.col("between")).alias("k"))
 
 
 def shrunk(finishes: DataFrame, pull: DataFrame, *keys: str) -> DataFrame:
     """Score of each pilot: its finishes and k times the grand mean, averaged."""
-    rows = finishes.groupBy("pilot", *keys).agg(F.count("*").alias("majors"), F.sum("score").alias("total")).crossJoin(F.broadcast(pull))
+    rows = finishes.groupBy("pilot", *keys).agg(F.count("*").alias("majors"), exact(F.col("score")).alias("total")).crossJoin(F.broadcast(pull))
     score = F.when(F.col("k").isNull(), F.col("mu")).otherwise((F.col("total") + F.col("k") * F.col("mu")) / (F.col("majors") + F.col("k")))
     return rows.withColumn("score", score).drop("total", "mu", "k")
 
 
+def rounded(score: Column) -> Column:
+    """To 12 digits, as SQL does it: by the product, not by the decimal digits."""
+    return F.round(score * 1e12) / 1e12
+
+
 def scores(g: Graph) -> DataFrame:
     """(pilot, rank, score, majors, major_events); equal scores share the better rank. Scores
     are rounded to 12 digits first: float noise must not split a tie."""
     finishes = contenders(major_finishes(g), anchor(g))
     require(finishes.select("pilot").distinct(), c.MIN_RACE_CONTENDERS, "contenders")
-    rows = shrunk(finishes, shrinkage(finishes)).withColumn("score", F.round("score", 12))
+    rows = shrunk(finishes, shrinkage(finishes)).withColumn("score", rounded(F.col("score")))
     rows = rows.crossJoin(F.broadcast(majors(g).agg(F.count("*").alias("major_events"))))
     # contenders only: a ranking needs one order
     return rows.withColumn("rank", F.rank().over(Window.orderBy(F.desc("score"))).cast("long")).select("pilot", "rank", "score", "majors", "major_events")
@@ -73,7 +85,7 @@ def as_of(g: Graph) -> DataFrame:
     steps = newest.select(F.explode(F.array(*[F.lit(c.RACE_STEP_MONTHS * k) for k in range(c.RACE_POINTS)])).alias("back"), "anchor")
     dates = steps.select((F.col("anchor") - F.expr("make_ym_interval(0, back)")).alias("as_of"))
     known = finishes.join(F.broadcast(dates), F.col("date") <= F.col("as_of"))  # five rows
-    rows = shrunk(known, shrinkage(finishes), "as_of").where(F.col("majors") >= c.MIN_SCORED_MAJORS).withColumn("as_of_score", F.round("score", 12))
+    rows = shrunk(known, shrinkage(finishes), "as_of").where(F.col("majors") >= c.MIN_SCORED_MAJORS).withColumn("as_of_score", rounded(F.col("score")))
     by = Window.partitionBy("as_of")
     return rows.select("pilot", "as_of", "as_of_score", F.col("majors").alias("as_of_majors"), F.rank().over(by.orderBy(F.desc("as_of_score"))).cast("long").alias("as_of_rank"), F.count("*").over(by).alias("as_of_contenders"))
 
