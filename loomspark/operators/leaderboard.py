@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import random
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark import constants as c
 from loomspark.operators import facts
+from loomspark.operators.resampling import rank_bounds
 from loomspark.plans.graph import Graph, require
 
 
@@ -90,43 +88,11 @@ def as_of(g: Graph) -> DataFrame:
     return rows.select("pilot", "as_of", "as_of_score", F.col("majors").alias("as_of_majors"), F.rank().over(by.orderBy(F.desc("as_of_score"))).cast("long").alias("as_of_rank"), F.count("*").over(by).alias("as_of_contenders"))
 
 
-def _refit(records: list[list[float]]) -> list[float]:
-    n = sum(map(len, records))
-    means = [sum(x) / len(x) for x in records]
-    mu = sum(map(sum, records)) / n
-    within = sum((v - m) ** 2 for x, m in zip(records, means, strict=True) for v in x) / (n - len(records))
-    across = sum(len(x) * (m - mu) ** 2 for x, m in zip(records, means, strict=True)) / (len(records) - 1)
-    typical = (n - sum(len(x) ** 2 for x in records) / n) / (len(records) - 1)
-    between = (across - within) / typical
-    if between <= 0:
-        return [mu] * len(records)
-    k = within / between
-    return [(sum(x) + k * mu) / (len(x) + k) for x in records]
-
-
 def rank_intervals(finishes: DataFrame, resamples: int = c.RACE_RESAMPLES, seed: int = c.RACE_SEED) -> DataFrame:
-    """(pilot, rank_low, rank_high): each contender's finishes redrawn, everything refitted. One
-    group by design: the draws share one seeded stream in the order of pilots, and the rows are
-    the contenders' alone."""
-
-    def redraw(rows: pd.DataFrame) -> pd.DataFrame:
-        held = {p: x.sort_values(["date", "score"])["score"].tolist() for p, x in rows.groupby("pilot")}
-        pilots, rng = sorted(held), random.Random(seed)
-        ranks: dict = {p: [] for p in pilots}
-        for _ in range(resamples):
-            drawn = _refit([[held[p][rng.randrange(len(held[p]))] for _ in held[p]] for p in pilots])
-            order = sorted(drawn, reverse=True)
-            place: dict = {}
-            for at, s in enumerate(order):
-                place.setdefault(s, at + 1)
-            for p, s in zip(pilots, drawn, strict=True):
-                ranks[p].append(place[s])
-        tail = (1 - c.RACE_INTERVAL) / 2
-        low, high = int(tail * resamples), min(resamples - 1, resamples - 1 - int(tail * resamples))
-        return pd.DataFrame({"pilot": pilots, "rank_low": [sorted(ranks[p])[low] for p in pilots], "rank_high": [sorted(ranks[p])[high] for p in pilots]})
-
-    kind = finishes.schema["pilot"].dataType.simpleString()
-    return finishes.groupBy().applyInPandas(redraw, f"pilot {kind}, rank_low long, rank_high long")
+    """(pilot, rank_low, rank_high): each contender's finishes redrawn, everything refitted. The
+    draws share one seeded stream in the order of pilots."""
+    tail = (1 - c.RACE_INTERVAL) / 2
+    return rank_bounds(finishes, resamples, seed, int(tail * resamples), min(resamples - 1, resamples - 1 - int(tail * resamples)))
 
 
 def leaderboard(g: Graph) -> DataFrame:
