@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -69,9 +70,10 @@ def gate_flags(rows: DataFrame, last: int) -> DataFrame:
     return found.select(F.explode(kinds).alias("kind"), "entity", "id")
 
 
-def gated_union(snapshots: list[Snapshot]) -> tuple[Snapshot, DataFrame]:
-    """The union with changed ids pinned to their first record, and the flags."""
+def gated_union(snapshots: list[Snapshot], parts: tuple[str, ...] = ("decks", "cards", "contains")) -> tuple[Snapshot, DataFrame]:
+    """The union with changed ids pinned to their first record, and the flags. ``parts`` are
+    written; the others stay plans."""
     flags = gate_flags(projections(stacked(snapshots)), len(snapshots) - 1)
     flags = materialised(flags, "flags")
     whole = union_snapshots(snapshots, flags.where("kind = 'changed'"))
-    return Snapshot(*[materialised(x, "union") for x in (whole.decks, whole.cards, whole.contains)]), flags
+    return replace(whole, **{x: materialised(getattr(whole, x), "union") for x in parts}), flags

@@ -12,7 +12,7 @@ from loomspark.functions import display
 from loomspark.operators import build, ingest, series
 from loomspark.plans.series_queries import SQL as SERIES_SQL
 from loomspark.plans.series_queries import TAG_A, TAG_B, YEAR, busiest_pilots, on
-from loomspark.session import table
+from loomspark.session import materialised, table
 from loomspark.sources import tpch
 from loomspark.sources.snapshot import Snapshot
 
@@ -42,11 +42,12 @@ def snapshot_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest._pick(rows, "deckId", pins).select("deckId", "snap", "pilot", "status")
 
 
-def snapshots(spark: SparkSession, sf_dir: str) -> list[Snapshot]:
-    """The three versions as snapshots. Decks of every thirteenth order lose their list in the
+def snapshots(spark: SparkSession, sf_dir: str, keep: bool = False) -> list[Snapshot]:
+    """The three versions as snapshots; ``keep`` writes the lists that they share. Decks of every thirteenth order lose their list in the
     last one, and every seventeenth card has another type in the middle one."""
     rows, lines, part = versions(spark, sf_dir), table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     lists = lines.select(F.col("l_orderkey").alias("deckId"), F.col("l_partkey").alias("canon"), F.when(F.col("l_linestatus") == "O", "Main").otherwise("Side").alias("board")).distinct()
+    lists = materialised(lists, "lists") if keep else lists
     out = []
     for k in range(3):
         mine = rows.where(F.col("snap") == k)
@@ -59,21 +60,21 @@ def snapshots(spark: SparkSession, sf_dir: str) -> list[Snapshot]:
 
 def projection_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate over real projections: a deck's facts and list, a card's name and type."""
-    held = snapshots(spark, sf_dir)
+    held = snapshots(spark, sf_dir, keep=True)
     rows = ingest.projections(ingest.stacked(held))
     return ingest.gate_flags(rows.withColumn("id", F.col("id").cast("string")), len(held) - 1)
 
 
-def _united(spark: SparkSession, sf_dir: str) -> Snapshot:
-    return ingest.gated_union(snapshots(spark, sf_dir))[0]
+def _united(spark: SparkSession, sf_dir: str, part: str) -> Snapshot:
+    return ingest.gated_union(snapshots(spark, sf_dir, keep=True), (part,))[0]
 
 
 def projection_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _united(spark, sf_dir).decks.select("deckId", "pilot", "event", F.col("deck_ord.snap").alias("first_seen"))
+    return _united(spark, sf_dir, "decks").decks.select("deckId", "pilot", "event", F.col("deck_ord.snap").alias("first_seen"))
 
 
 def projection_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _united(spark, sf_dir).contains.groupBy("deckId").agg(F.count("*").alias("cards"), F.sum("canon").alias("canons"))
+    return _united(spark, sf_dir, "contains").contains.groupBy("deckId").agg(F.count("*").alias("cards"), F.sum("canon").alias("canons"))
 
 
 def deck_history(spark: SparkSession, sf_dir: str) -> DataFrame:
